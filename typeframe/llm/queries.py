@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, pieces, quality_rules, sharding
+from . import byte_cnn, line_dedup, packing, pieces, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -39,6 +39,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_cnn.score_quality(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -46,6 +57,8 @@ def queries() -> dict:
         "op3_pieces": op3_pieces,
         "op4_shards": op4_shards,
         "op8_line_dedup": op8_line_dedup,
+        "op9_quality": op9_quality,
+        "op10_toxicity": op10_toxicity,
     }
 
 
