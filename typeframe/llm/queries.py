@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, line_dedup, packing, pieces, quality_rules, sharding, toxicity
+from . import byte_cnn, jaccard_join, line_dedup, packing, pieces, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op2_pack": op2_pack,
         "op3_pieces": op3_pieces,
         "op4_shards": op4_shards,
+        "op5_jaccard": op5_jaccard,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
