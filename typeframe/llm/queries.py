@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, jaccard_join, line_dedup, packing, pieces, quality_rules, sharding, toxicity
+from . import byte_cnn, jaccard_join, line_dedup, multi_index, packing, pieces, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
@@ -61,6 +65,7 @@ def queries() -> dict:
         "op3_pieces": op3_pieces,
         "op4_shards": op4_shards,
         "op5_jaccard": op5_jaccard,
+        "op7_multi_index": op7_multi_index,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
