@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, jaccard_join, line_dedup, multi_index, packing, pieces, quality_rules, sharding, toxicity
+from . import byte_cnn, html_template, jaccard_join, line_dedup, multi_index, packing, pieces, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -65,6 +69,7 @@ def queries() -> dict:
         "op3_pieces": op3_pieces,
         "op4_shards": op4_shards,
         "op5_jaccard": op5_jaccard,
+        "op6_main_text": op6_main_text,
         "op7_multi_index": op7_multi_index,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality": op9_quality,
