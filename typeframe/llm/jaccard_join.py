@@ -57,23 +57,44 @@ def _windows(words: Column, size: int) -> Column:
     return F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(words), of), 1)))
 
 
-def linked_sizes(threshold: Fraction) -> list[tuple[int, int, int, int]]:
-    """Size intervals (low, high, largest partner, parts) that cover all int sizes.
+def linked_sizes(threshold: Fraction) -> list[tuple[int, int, int, int, int]]:
+    """Size intervals (low, high, largest partner, parts, spare) that cover all int sizes.
 
     A linked pair whose smaller set lies in [low, high) has a larger set of at
-    most ``largest`` elements, and differs in fewer elements than ``parts``.
+    most ``largest`` elements, and differs in fewer than ``parts - spare``
+    elements, so at least ``spare + 1`` of its parts are equal.  ``spare`` is
+    how many empty parts a set may have and still be sure of an equal part
+    with elements; it is the least that few sets exceed.
     """
     out, low = [], 1
     while low < 1 << 31:
         high = max(low + 1, int(low / threshold) + 1)
         largest = int((high - 1) / threshold)
         # J >= t means |A| + |B| - 2 I <= (|A| + |B|) (1 - t) / (1 + t).
-        parts = int((high - 1 + largest) * (1 - threshold) / (1 + threshold)) + 1
-        out.append((low, high, largest, parts))
+        need = int((high - 1 + largest) * (1 - threshold) / (1 + threshold)) + 1
+        out.append((low, high, largest, *_spare(need, low)))
         low = high
     return out
 
 
+def _spare(need: int, low: int) -> tuple[int, int]:
+    if need == 1:
+        return 1, 0
+    best = None
+    for spare in sorted({int(round(1.3**i)) - 1 for i in range(80)}):
+        if spare > need:
+            break
+        parts = need + spare
+        mean = parts * (1 - 1 / parts) ** low
+        # The empty parts' count is near Poisson; their excess in standard deviations.
+        excess = (spare + 0.5 - mean) / max(mean, 0.05) ** 0.5
+        if excess >= 4:
+            return parts, spare
+        if best is None or excess > best[0]:
+            best = (excess, parts, spare)
+    return best[1:]
+
+
 def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser, so that sums of mixed values identify sets."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -82,42 +103,38 @@ def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def set_signatures(values: np.ndarray, n: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def set_signatures(values: np.ndarray, n: np.ndarray, table: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of sets laid end to end, and the number of each set's.
 
     ``values`` are the elements as uint64, ``n`` the sizes, ``table`` the rows
-    of ``linked_sizes``.  Two sets may share only empty parts, so a set with
-    an empty part is cut again by another hash, until no part is empty; its
-    partner has the same empty part and does the same.
+    of ``linked_sizes``.  A set with more empty parts than are spare could
+    share only empty ones with a partner, which then has as many; both add the
+    elements of their prefix filter.
     """
     own = np.searchsorted(table[:, 0], n, "right") - 1
     below = (own > 0) & (n <= table[np.maximum(own - 1, 0), 2]) & (n > 0)
     doc = np.concatenate((np.flatnonzero(n > 0), np.flatnonzero(below)))
     interval = np.concatenate((own[n > 0], own[below] - 1))
-    starts = np.cumsum(n) - n
-    sigs, of = [], []
-    for turn in range(64):
-        if not len(doc):
-            break
-        k, m = table[interval, 3], n[doc]
-        base = np.cumsum(k) - k
-        row = np.repeat(np.arange(len(doc)), m)
-        element = values[np.repeat(starts[doc] - (np.cumsum(m) - m), m) + np.arange(len(row))]
-        cell = base[row] + (_mix(element, 2 * turn) % k[row].astype("u8")).astype("i8")
-        sums = np.zeros(int(k.sum()), "u8")
-        np.add.at(sums, cell, _mix(element, 2 * turn + 1))
-        full = np.bincount(cell, minlength=len(sums)) > 0
-        part_row = np.repeat(np.arange(len(doc)), k)
-        part = np.arange(len(sums)) - base[part_row]
-        label = _mix(interval[part_row].astype("u8") * np.uint64(1 << 34) + part.astype("u8") * np.uint64(64) + np.uint64(turn), 7)
-        sigs.append(_mix(sums ^ label, 9)[full])
-        of.append(doc[part_row][full])
-        again = np.bincount(part_row[~full], minlength=len(doc)) > 0
-        doc, interval = doc[again], interval[again]
-    else:
-        raise RuntimeError("a set's parts stayed empty")
-    if not sigs:
+    if not len(doc):
         return np.zeros(0, "u8"), np.zeros(len(n), "i8")
+    starts = np.cumsum(n) - n
+    k, m = table[interval, 3], n[doc]
+    base = np.cumsum(k) - k
+    row = np.repeat(np.arange(len(doc)), m)
+    element = values[np.repeat(starts[doc] - (np.cumsum(m) - m), m) + np.arange(len(row))]
+    cell = base[row] + (_mix(element, 0) % k[row].astype("u8")).astype("i8")
+    sums = np.zeros(int(k.sum()), "u8")
+    np.add.at(sums, cell, _mix(element, 1))
+    full = np.bincount(cell, minlength=len(sums)) > 0
+    part_row = np.repeat(np.arange(len(doc)), k)
+    part = np.arange(len(sums)) - base[part_row]
+    label = _mix(interval[part_row].astype("u8") * np.uint64(1 << 34) + part.astype("u8"), 7)
+    sigs, of = [_mix(sums ^ label, 9)[full]], [doc[part_row][full]]
+    empty = np.bincount(part_row[~full], minlength=len(doc))
+    for d in np.unique(doc[empty > table[interval, 4]]):
+        length = int(n[d]) - -(-int(n[d]) * threshold.numerator // threshold.denominator) + 1
+        sigs.append(_mix(np.sort(_mix(values[starts[d] : starts[d] + n[d]], 11))[:length], 13))
+        of.append(np.full(length, d))
     sigs, of = np.concatenate(sigs), np.concatenate(of)
     order = np.argsort(of, kind="stable")
     return sigs[order], np.bincount(of, minlength=len(n))
@@ -138,7 +155,7 @@ def _digests(sets: DataFrame, threshold: Fraction) -> DataFrame:
                 digest = [np.zeros(len(n), "u8") for _ in range(2)]
                 for d, seed in zip(digest, (101, 103), strict=True):
                     np.add.at(d, row, _mix(values, seed))
-                sigs, count = set_signatures(values, n, table)
+                sigs, count = set_signatures(values, n, table, threshold)
                 edges = pa.array(np.concatenate(([0], np.cumsum(count))).astype("i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(d.view("i8")) for d in digest), pa.ListArray.from_arrays(edges, pa.array(sigs.view("i8")))], ["doc", "n", "d1", "d2", "sigs"])
 
