@@ -23,7 +23,8 @@ VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 def masked(line: Column) -> Column:
     """The line's tokens with variable fields masked, joined by one space."""
-    return F.array_join(F.array_remove(F.split(F.regexp_replace(line, VARIABLE, FIELD), SPACE_CLASS), ""), " ")
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
+    return F.array_join(F.array_remove(F.split(fields, SPACE_CLASS), ""), " ")
 
 
 def line_dedup(
@@ -49,24 +50,32 @@ def line_dedup(
     are carried, and the two counts replace columns of their names.
     """
     carried = docs.drop("n_lines", "n_dropped")
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.split(text_col, "\n").alias("lines")).filter("lines is not null")
-    # Hashes stand for lines: 96 bits for a masked line, as many for its leaf.
-    shape = lambda m: F.struct(F.xxhash64(m).alias("k1"), F.hash(m).alias("k2"), m.alias("m"))
-    lines = rows.select("doc", "body", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x.rlike(WORD_CLASS)), lambda x: shape(masked(x))))).alias("x")).select("doc", "body", "x.*")
-    head = F.substring_index("m", " ", depth)
-    n = F.size(F.split("m", " "))
-    lines = lines.select("doc", "body", "k1", "k2", F.xxhash64(n, head).alias("leaf"), F.when(n > depth, F.col("m")).alias("m"))
+    body = F.xxhash64(text_col)
+    rows = docs.select(F.col(id_col).alias("doc"), body.alias("body"), F.split(text_col, "\n").alias("lines")).filter("lines is not null")
+    # Each step of a line runs once: a place and text, then its masked form, then the hashes of that.
+    placed = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("x"))), lambda e: e.x.rlike(WORD_CLASS))
+    shaped = F.transform(placed, lambda e: F.struct(e.pos.alias("pos"), masked(e.x).alias("m")))
+    lines = rows.select("doc", "body", F.explode(shaped).alias("e")).select("doc", "body", "e.pos", "e.m")
+    # Hashes stand for lines: 96 bits for a masked line, 64 for its leaf.
+    n = F.length("m") - F.length(F.replace(F.col("m"), F.lit(" "), F.lit(""))) + 1
+    lines = lines.select("doc", "body", "pos", F.xxhash64("m").alias("k1"), F.hash("m").alias("k2"), n.alias("n"), "m")
+    lines = lines.select("doc", "body", "pos", "k1", "k2", F.xxhash64("n", F.substring_index("m", " ", depth)).alias("leaf"), F.when(F.col("n") > depth, F.col("m")).alias("m"))
+    # The masked text lies in a column of its own, which only lines of busy leaves are read for.
+    lines = materialise(lines, "lines")
 
     first = F.min("doc").alias("first")
-    exact = lines.groupBy("k1", "k2", "leaf", "body").agg(first, F.first("m").alias("m"))
-    exact = exact.groupBy("k1", "k2", "leaf").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"), F.first("m").alias("m"))
-    exact = materialise(exact, "lines")
+    longer = F.max(F.col("m").isNotNull()).alias("longer")
+    exact = lines.groupBy("k1", "k2", "leaf", "body").agg(first, longer)
+    exact = exact.groupBy("k1", "k2", "leaf").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"), F.max("longer").alias("longer"))
+    exact = materialise(exact, "line-counts")
     recurring = exact.filter(F.col("n_docs") >= min_docs).select("k1", "k2", "first")
 
     # The leaf's general template, from the masked lines that do not recur by themselves.
-    rest = exact.filter((F.col("n_docs") < min_docs) & F.col("m").isNotNull())
-    full = rest.groupBy("leaf").agg(F.sum("n_docs").alias("leaf_docs"), F.count("*").alias("leaf_lines")).filter((F.col("leaf_docs") >= min_docs) & (F.col("leaf_lines") > 1))
-    rest = materialise(rest.join(full, "leaf"), "leaves")
+    rare = exact.filter((F.col("n_docs") < min_docs) & F.col("longer"))
+    full = rare.groupBy("leaf").agg(F.sum("n_docs").alias("leaf_docs"), F.count("*").alias("leaf_lines")).filter((F.col("leaf_docs") >= min_docs) & (F.col("leaf_lines") > 1))
+    full = materialise(full.select("leaf", "leaf_docs"), "line-leaves")
+    texts = lines.select("leaf", "k1", "k2", "m").join(full.select("leaf"), "leaf").groupBy("k1", "k2").agg(F.min("m").alias("m"))
+    rest = materialise(rare.select("leaf", "k1", "k2", "n_docs", "first").join(full, "leaf").join(texts, ["k1", "k2"]), "line-rest")
     tokens = rest.select("leaf", "leaf_docs", "k1", "k2", "n_docs", "first", F.posexplode(F.split("m", " ")).alias("pos", "token"))
     common = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("c"), F.first("leaf_docs").alias("leaf_docs")).filter(F.col("c") * 2 > F.col("leaf_docs")).select("leaf", "pos", "token")
     general = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("general"))
@@ -77,20 +86,19 @@ def line_dedup(
     generalised = members.join(leaves, "leaf").select("k1", "k2", F.col("leaf_first").alias("first"))
 
     templates = materialise(recurring.union(generalised), "templates")
-    hits = lines.select("doc", "k1", "k2").join(templates, ["k1", "k2"])
+    hits = lines.select("doc", "body", "pos", "k1", "k2").join(templates, ["k1", "k2"])
     if keep_first:
         hits = hits.filter(~F.col("doc").eqNullSafe(F.col("first")))
-    # Rows with one id share their drops, so a set per id is as large as its own lines.
-    drops = hits.groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("_drops"))
-    key = lambda x: F.struct(F.xxhash64(masked(x)).alias("k1"), F.hash(masked(x)).alias("k2"))
+    # One set per document, of its own lines' places; equal rows share it.
+    drops = hits.groupBy("doc", "body").agg(F.collect_set("pos").alias("_drops"))
+    same = carried[id_col].eqNullSafe(drops["doc"]) & (F.xxhash64(carried[text_col]) == drops["body"]) & carried[text_col].isNotNull()
     split = F.split(F.col(text_col), "\n")
-    stay = F.filter(split, lambda x: ~(x.rlike(WORD_CLASS) & F.array_contains("_drops", key(x))))
-    joined = carried.join(drops, carried[id_col].eqNullSafe(drops["doc"]), "left").drop("doc")
-    count = lambda kept: F.coalesce(F.size(kept), F.lit(0)).cast("long")
-    lines_of = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.size(split).cast("long"))
-    staying = F.when(F.col("_drops").isNull(), split).otherwise(stay)
-    out = joined.withColumn("_stay", staying).withColumn("n_lines", lines_of).withColumn("n_dropped", F.when(F.col("_drops").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - count(F.col("_stay"))))
-    text = F.when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(F.array_join("_stay", "\n"))
+    stay = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_drops", i), x)), lambda x: x.isNotNull())
+    out = carried.join(drops, same, "left").drop("doc", "body")
+    lines_of = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
+    dropped = F.when(F.col("_drops").isNull(), F.lit(0)).otherwise(F.size("_drops")).cast("long")
+    text = F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    out = out.withColumns({"n_lines": lines_of, "n_dropped": dropped})
     return out.withColumn(text_col, text).select(*carried.columns, "n_lines", "n_dropped")
 
 
