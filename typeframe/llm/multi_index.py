@@ -6,8 +6,9 @@ every vector is indexed in one cell.  A query visits cells in the order of the
 sum of its two half bounds, as the multi-sequence algorithm yields them, until
 the bound passes the search radius.  A half's bound is the distance to the
 bisecting plane between the nearest centroid and the cell's, so at a target
-recall of 1 no cell that could hold a neighbour is left out; a lower target
-shrinks the radius to what a sample of true neighbours needs.  Candidates are
+recall of 1 no cell that could hold a neighbour is left out, which in many
+dimensions is most of the grid; a lower target shrinks the radius to what that
+share of planted neighbours needs.  Candidates are
 verified in double precision.  Equal vectors are one class throughout.
 """
 
@@ -73,20 +74,27 @@ def visited(first: np.ndarray, second: np.ndarray, radius2: float) -> list[tuple
     return out
 
 
-def reach(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, target: float) -> float:
-    """The squared radius that reaches the target recall: exact at 1, else a quantile over the sample's links."""
+def reach(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, target: float, seed: int = 3) -> float:
+    """The squared radius up to which cells are visited.
+
+    At a target of 1 it is the distance of the threshold, and no neighbour can
+    be missed.  Below, neighbours at just the threshold are planted beside the
+    sample in random directions, and the radius is what that share of them
+    needs; closer neighbours need less.
+    """
     exact = 2 - 2 * threshold + 1e-9
-    if target >= 1 or len(sample) < 2:
+    if target >= 1 or not len(sample):
         return exact
-    half = sample.shape[1] // 2
+    half, r = sample.shape[1] // 2, np.random.default_rng(seed)
+    b1, b2 = bounds(sample[:, :half], books[0]), bounds(sample[:, half:], books[1])
     need = []
-    for lo in range(0, len(sample), BLOCK):
-        x = sample[lo : lo + BLOCK]
-        q, m = np.nonzero(x @ sample.T >= threshold)
-        b1, b2 = bounds(x[:, :half], books[0]), bounds(x[:, half:], books[1])
-        c1, c2 = squared(sample[:, :half], books[0]).argmin(1), squared(sample[:, half:], books[1]).argmin(1)
-        need.append(b1[q, c1[m]] + b2[q, c2[m]])
-    return min(exact, float(np.quantile(np.concatenate(need), target)))
+    for _ in range(8):
+        u = r.normal(size=sample.shape)
+        u -= (u * sample).sum(1, keepdims=True) * sample
+        y = threshold * sample + (1 - threshold**2) ** 0.5 * u / np.maximum(np.sqrt((u * u).sum(1, keepdims=True)), 1e-300)
+        at = np.arange(len(y))
+        need.append(b1[at, squared(y[:, :half], books[0]).argmin(1)] + b2[at, squared(y[:, half:], books[1]).argmin(1)])
+    return min(exact, float(np.quantile(np.concatenate(need), target)) + 1e-9)
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -108,7 +116,7 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.95,
-    target_recall: float = 1.0,
+    target_recall: float = 0.999,
     sample: int = 20_000,
     codes: int = 64,
 ) -> DataFrame:
@@ -125,12 +133,14 @@ def near_duplicates(
     ignored.
     """
     spark = vectors.sparkSession
-    source = vectors.select(F.col(id_col).cast("long").alias("doc"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Single-precision components travel as such; all arithmetic is double.
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    source = vectors.select(F.col(id_col).cast("long").alias("doc"), F.col(vector_col).cast(kind).alias("v"))
     common = source.filter("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = max(1, common["dim"] if common else 1)
     # Copies of a vector are one class with a weight; a null id never names it.
     # The digest, not the vector, is the key that rows are dealt by.
-    rows = source.withColumn("ok", usable(F.col("v"), dim)).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x + 0.0)))
+    rows = source.withColumn("ok", usable(F.col("v"), dim)).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))))
     rows = rows.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), F.reverse("v")))
     classes = rows.filter("ok").groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.count("*").alias("weight"), F.first("v").alias("v")).filter("doc is not null")
     classes = materialise(classes, "index-classes")
@@ -138,7 +148,7 @@ def near_duplicates(
     points = _unit(picked) if len(picked) else np.zeros((0, dim))
     half = dim // 2
     books = codebook(points[:, :half], codes, 1), codebook(points[:, half:], codes, 2)
-    radius2 = reach(points[:4000], books, threshold, target_recall)
+    radius2 = reach(points[:2000], books, threshold, target_recall)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,7 +164,7 @@ def near_duplicates(
                 out["cells"] = [np.asarray(sorted({a * 65536 + b for a, b in c} | {int(o)}), "i8") for c, o in zip(cells, own, strict=True)]
                 yield out
 
-    indexed = materialise(classes.mapInPandas(place, "doc long, weight long, v array<double>, own long, cells array<long>"), "index")
+    indexed = materialise(classes.mapInPandas(place, f"doc long, weight long, v {kind}, own long, cells array<long>"), "index")
 
     # A cell's members and its visitors are cut into blocks of bounded size, and each pair of blocks is one unit.
     visits = indexed.select("doc", F.explode("cells").alias("cell"))
