@@ -90,14 +90,14 @@ def line_dedup(
     if keep_first:
         hits = hits.filter(~F.col("doc").eqNullSafe(F.col("first")))
     # One set per document, of its own lines' places; equal rows share it.
-    drops = hits.groupBy("doc", "body").agg(F.collect_set("pos").alias("_drops"))
-    same = carried[id_col].eqNullSafe(drops["doc"]) & (F.xxhash64(carried[text_col]) == drops["body"]) & carried[text_col].isNotNull()
+    drops = hits.groupBy(F.col("doc").alias("_tf_doc"), F.col("body").alias("_tf_body")).agg(F.collect_set("pos").alias("_tf_drops"))
+    same = carried[id_col].eqNullSafe(drops["_tf_doc"]) & (F.xxhash64(carried[text_col]) == drops["_tf_body"]) & carried[text_col].isNotNull()
     split = F.split(F.col(text_col), "\n")
-    stay = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_drops", i), x)), lambda x: x.isNotNull())
-    out = carried.join(drops, same, "left").drop("doc", "body")
+    stay = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_tf_drops", i), x)), lambda x: x.isNotNull())
+    out = carried.join(drops, same, "left").drop("_tf_doc", "_tf_body")
     lines_of = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
-    dropped = F.when(F.col("_drops").isNull(), F.lit(0)).otherwise(F.size("_drops")).cast("long")
-    text = F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    dropped = F.when(F.col("_tf_drops").isNull(), F.lit(0)).otherwise(F.size("_tf_drops")).cast("long")
+    text = F.when(F.col("_tf_drops").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
     out = out.withColumns({"n_lines": lines_of, "n_dropped": dropped})
     return out.withColumn(text_col, text).select(*carried.columns, "n_lines", "n_dropped")
 
