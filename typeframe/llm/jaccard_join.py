@@ -6,7 +6,8 @@ the first level therefore come from signatures that no linked pair can
 escape: sets of like size are cut by hash into one part more than the largest
 symmetric difference a linked pair can have, so a linked pair has an equal
 part.  Sets that share a part's hash, directly or through others, form a
-region.  A region that is larger than a leaf is parted by pivots: every set is
+region.  A region that is larger than a leaf is cut again by the prefix filter
+in its own order of rarity, and what is still large is parted by pivots: every set is
 measured against them, joins the Voronoi cell of the nearest, and cells are
 cut into shells by that distance and into blocks of bounded size.  By the
 triangle inequality two sets within distance r have distances to every pivot
@@ -35,6 +36,8 @@ TASK_ROWS = 1024
 #: Pivots of a large region, and the width of its shells as a share of the radius.
 PIVOTS = 8
 SHELLS = 4
+#: Size of the bitmap that sieves signatures, fixed whatever the input: 16 MB.
+SIEVE_BITS = 1 << 27
 #: Slack for distances that pass through doubles.
 EPS = 1e-9
 
@@ -66,6 +69,8 @@ def linked_sizes(threshold: Fraction) -> list[tuple[int, int, int, int, int]]:
     how many empty parts a set may have and still be sure of an equal part
     with elements; it is the least that few sets exceed.
     """
+    if threshold == 1:
+        return [(1, 1 << 31, 1 << 31, 1, 0)]
     out, low = [], 1
     while low < 1 << 31:
         high = max(low + 1, int(low / threshold) + 1)
@@ -190,10 +195,12 @@ def linked_stars(ids: np.ndarray, sets: list[np.ndarray], threshold: Fraction) -
         label = new
 
 
-def _join_units(units: DataFrame, threshold: Fraction) -> DataFrame:
+def _tasks(rows: int | None, elements: int | None) -> int:
+    return max(1, (rows or 0) // TASK_ROWS, (elements or 0) // 500_000)
+
+
+def _join_units(units: DataFrame, threshold: Fraction, tasks: int) -> DataFrame:
     """Edges (a, b) of units (unit, doc, s); whole units are dealt to tasks of bounded size."""
-    size = units.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("s").cast("long")), F.lit(0)).alias("elements")).first()
-    tasks = max(1, size["rows"] // TASK_ROWS, size["elements"] // 500_000)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = [e for _, x in rows.groupby("unit", sort=False) for e in linked_stars(x["doc"].to_numpy(), list(x["s"]), threshold)]
@@ -203,8 +210,28 @@ def _join_units(units: DataFrame, threshold: Fraction) -> DataFrame:
     return dealt.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def _blocks(sets: DataFrame, radius: float) -> DataFrame:
-    """Units of large regions: pairs of blocks whose pivot ranges come within the radius.
+def _refined(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Large regions cut anew by their rarest elements: (doc, region) of what may still link.
+
+    Linked sets share one of the n - ceil(t n) + 1 elements that come first in
+    any common order; in order of rarity those that many sets have come last,
+    so sets that share no more than a passage part here.
+    """
+    tokens = sets.select("doc", F.size("s").alias("n"), F.explode("s").alias("t"))
+    shared = materialise(tokens.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard-frequency")
+    # Elements of one set only come first of all, and need no more than to be counted.
+    ranked = tokens.join(shared, "t").groupBy("doc").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "t"))).alias("r"))
+    prefix = F.col("n") - F.floor((F.col("n") * threshold.numerator + threshold.denominator - 1) / threshold.denominator) + 1
+    left = (prefix - (F.col("n") - F.size("r"))).cast("int")
+    first = ranked.filter(left > 0).select("doc", F.explode(F.slice("r", F.lit(1), F.greatest(left, F.lit(0)))).alias("x")).select("doc", "x.t")
+    first = materialise(first, "jaccard-prefixes")
+    least = materialise(first.groupBy("t").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("t", "lo"), "jaccard-least")
+    found = components(first.join(least, "t").select(F.col("doc").alias("a"), F.col("lo").alias("b")))
+    return found.select(F.col("node").alias("doc"), F.col("component").alias("region"))
+
+
+def _blocks(sets: DataFrame, radius: float) -> tuple[DataFrame, int]:
+    """Units of large regions, pairs of blocks whose pivot ranges come within the radius, and their tasks.
 
     ``sets`` has region, doc and s.
     """
@@ -223,11 +250,51 @@ def _blocks(sets: DataFrame, radius: float) -> DataFrame:
     placed = measured.join(materialise(count, "jaccard-shells"), ["region", "cell", "shell"])
     placed = materialise(placed.withColumn("block", F.struct("cell", "shell", F.pmod(F.xxhash64("doc"), "parts").alias("part"))).select("region", "block", "doc", "s", "d"), "jaccard-blocks")
     at = lambda j: F.get("d", F.lit(j))
-    boxes = placed.groupBy("region", "block").agg(F.array(*(F.min(at(j)) for j in range(PIVOTS))).alias("lo"), F.array(*(F.max(at(j)) for j in range(PIVOTS))).alias("hi"))
-    a, b = boxes.toDF("region", "a", "a_lo", "a_hi"), boxes.toDF("region", "b", "b_lo", "b_hi")
+    boxes = placed.groupBy("region", "block").agg(F.array(*(F.min(at(j)) for j in range(PIVOTS))).alias("lo"), F.array(*(F.max(at(j)) for j in range(PIVOTS))).alias("hi"), F.count("*").alias("rows"), F.sum(F.size("s").cast("long")).alias("elements"))
+    boxes = materialise(boxes, "jaccard-boxes")
+    a, b = boxes.toDF("region", "a", "a_lo", "a_hi", "a_rows", "a_elements"), boxes.toDF("region", "b", "b_lo", "b_hi", "b_rows", "b_elements")
     apart = lambda lo, hi: F.exists(F.zip_with(lo, hi, lambda x, y: F.coalesce(x - y, F.lit(0.0))), lambda g: g > radius + EPS)
-    pairs = a.join(b, "region").filter("a <= b").filter(~apart("a_lo", "b_hi") & ~apart("b_lo", "a_hi")).select("region", F.struct("a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    return placed.select("region", "block", "doc", "s").join(materialise(pairs, "jaccard-pairs"), ["region", "block"]).select(F.xxhash64("region", "pair").alias("unit"), "doc", "s")
+    near = materialise(a.join(b, "region").filter("a <= b").filter(~apart("a_lo", "b_hi") & ~apart("b_lo", "a_hi")), "jaccard-pairs")
+    size = near.agg(F.sum(F.col("a_rows") + F.col("b_rows")).alias("rows"), F.sum(F.col("a_elements") + F.col("b_elements")).alias("elements")).first()
+    pairs = near.select("region", F.struct("a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    units = placed.select("region", "block", "doc", "s").join(pairs, ["region", "block"]).select(F.xxhash64("region", "pair").alias("unit"), "doc", "s")
+    return units, _tasks(size["rows"], size["elements"])
+
+
+def _joined(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Edges of regions that are joined whole."""
+    size = sets.agg(F.count("*").alias("rows"), F.sum(F.size("s").cast("long")).alias("elements")).first()
+    return _join_units(sets.select(F.xxhash64("region").alias("unit"), "doc", "s"), threshold, _tasks(size["rows"], size["elements"]))
+
+
+def _members_of(digests: DataFrame, groups: DataFrame) -> DataFrame:
+    """(sig, class, lo) of the sets in ``groups``, most other signatures sieved out first.
+
+    The sieve is a bitmap of ``SIEVE_BITS`` bits over the groups' signatures,
+    of that size whatever the input; what passes it wrongly the join drops.
+    """
+    # The bitmap functions count from 1.
+    bit = F.pmod("sig", F.lit(SIEVE_BITS)) + 1
+    parts = groups.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    sieve = np.zeros(SIEVE_BITS // 8, "u1")
+    for r in parts:
+        sieve[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), "u1")
+    shared = digests.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                lists = batch.column(1)
+                sigs = lists.flatten().to_numpy(zero_copy_only=False)
+                classes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+                at = np.mod(sigs, SIEVE_BITS)
+                hit = bits[at >> 3] >> (at & 7).astype("u1") & 1 == 1
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[hit]), pa.array(classes[hit])], ["sig", "class"])
+
+    some = digests.filter("n > 0").select("class", "sigs").mapInArrow(run, "sig long, class long")
+    return some.join(groups.select("sig", "lo"), "sig")
 
 
 def jaccard_join(
@@ -251,27 +318,49 @@ def jaccard_join(
     """
     threshold = Fraction(threshold)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    digests = materialise(_digests(source.select("doc", shingles(F.col("text"), size).alias("s")), threshold), "jaccard-sets")
-    classes = digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.first("sigs").alias("sigs")).filter("rep is not null")
-    classes = materialise(classes, "jaccard-classes")
-
-    member = classes.select(F.explode("sigs").alias("sig"), "rep")
-    groups = materialise(member.groupBy("sig").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("c")).filter("lo < hi"), "jaccard-groups")
+    digests = _digests(source.select("doc", shingles(F.col("text"), size).alias("s")), threshold)
+    digests = materialise(digests.withColumn("class", F.xxhash64("n", "d1", "d2")), "jaccard-sets")
+    # Equal sets have equal signatures and one class, so copies combine before the shuffle.
+    member = digests.filter("n > 0").select(F.explode("sigs").alias("sig"), "class")
+    groups = member.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
+    groups = materialise(groups, "jaccard-groups")
     pairs = groups.filter("c = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-    stars = member.join(groups.filter("c > 2").select("sig", "lo"), "sig").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-    regions = materialise(components(pairs.union(stars)).select(F.col("node").alias("doc"), F.col("component").alias("region")), "jaccard-regions")
+    stars = _members_of(digests, groups.filter("c > 2")).select(F.col("class").alias("a"), F.col("lo").alias("b"))
+    regions = components(pairs.union(stars)).select(F.col("node").alias("class"), F.col("component").alias("region"))
+    reps = materialise(digests.filter("n > 0").groupBy("class").agg(F.min("doc").alias("rep")).filter("rep is not null"), "jaccard-reps")
+    regions = materialise(regions.join(reps, "class").select(F.col("rep").alias("doc"), "region"), "jaccard-regions")
 
     large = regions.groupBy("region").agg(F.count("*").alias("c")).filter(F.col("c") > LEAF).select("region", F.lit(True).alias("large"))
     placed = regions.join(materialise(large, "jaccard-large"), "region", "left")
     sets = placed.join(source, "doc").select("region", "large", "doc", shingles(F.col("text"), size).alias("s"))
     sets = materialise(sets.filter(F.size("s") > 0), "jaccard-region-sets")
-    small = sets.filter("large is null").select(F.xxhash64("region").alias("unit"), "doc", "s")
-    edges = _join_units(small, threshold)
+    edges = _joined(sets.filter("large is null").drop("large"), threshold)
     if not sets.filter("large").isEmpty():
-        units = materialise(_blocks(sets.filter("large"), float(1 - threshold)), "jaccard-units")
-        edges = edges.union(_join_units(units, threshold))
+        wide = sets.filter("large").drop("large")
+        again = materialise(_refined(wide, threshold), "jaccard-refined")
+        large = again.groupBy("region").agg(F.count("*").alias("c")).filter(F.col("c") > LEAF).select("region", F.lit(True).alias("large"))
+        again = again.join(materialise(large, "jaccard-large"), "region", "left")
+        wide = materialise(wide.drop("region").join(again, "doc"), "jaccard-refined-sets")
+        edges = edges.union(_joined(wide.filter("large is null").drop("large"), threshold))
+        if not wide.filter("large").isEmpty():
+            units, tasks = _blocks(wide.filter("large"), float(1 - threshold))
+            edges = edges.union(_join_units(units, threshold, tasks))
     linked = materialise(components(edges), "jaccard-components")
 
-    rep = materialise(classes.select("n", "d1", "d2", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "jaccard-reps")
-    out = digests.select("doc", "n", "d1", "d2").join(rep, ["n", "d1", "d2"], "left")
+    final = reps.join(linked, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component"))
+    out = digests.select("doc", "n", "class").join(materialise(final, "jaccard-final"), "class", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def oracle_sql(size: int = 3, threshold: Fraction = Fraction(9, 10)) -> str:
+    window = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, {window} AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {size} + 2)) AS i FROM d WHERE len(w) >= {size})
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {size} - 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE {threshold.denominator} * c >= {threshold.numerator} * (x.n + y.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT r.node, e.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) e ON r.reached = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) m ON d.doc_id = m.node"""
