@@ -215,3 +215,13 @@ def near_duplicates(
     out = rows.select("doc", "k1", "k2", "ok").join(result, ["k1", "k2"], "left")
     component = F.when(F.col("ok"), F.coalesce("component", "doc")).otherwise(F.col("doc"))
     return out.select(F.col("doc").alias(id_col), F.when(F.col("ok"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+
+
+def oracle_sql(threshold: float = 0.95) -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= {threshold}),
+r AS (SELECT vec_id AS node, vec_id AS reached FROM v UNION SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, min(r.reached) AS component_id, min(r.reached) = v.vec_id AS kept
+FROM v JOIN r ON v.vec_id = r.node GROUP BY v.vec_id"""

@@ -80,5 +80,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.oracle_sql(),
+        "op5_jaccard": jaccard_join.oracle_sql(),
+        "op7_multi_index": multi_index.oracle_sql(),
         "op8_line_dedup": line_dedup.oracle_sql(),
     }
