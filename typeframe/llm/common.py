@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or _test_dir()).rstrip("/")
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collect the paths that ``materialise`` writes meanwhile, so that their owner can remove them."""
+    token = _SCRATCH.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _SCRATCH.reset(token)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables wherever they are stored."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -36,6 +59,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/typeframe/{name}-{uuid.uuid4().hex}"
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
