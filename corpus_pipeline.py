@@ -6,6 +6,7 @@ this order.  Every stage works on all documents that its predecessor kept.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from fractions import Fraction
 
@@ -13,25 +14,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeframe.llm import byte_cnn, jaccard_join, line_dedup, packing, toxicity
-from typeframe.llm.common import shared_dir, table
+from typeframe.llm.common import remove, scratch, shared_dir, table
 
+#: Tables that the running stage reads from; the next stage's docs no longer need them.
+_HELD: list[str] = []
 
+
+def stage(f):
+    """A stage that first removes what its predecessor had to keep until its result was written."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _HELD)
+        _HELD.clear()
+        with scratch() as paths:
+            out = f(spark, docs, sf_dir)
+        _HELD.extend(paths)
+        return out
+
+    return run
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return byte_cnn.score_quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
 
 
+@stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, but from the first document that has them."""
     out = line_dedup.line_dedup(docs, keep_first=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id.
 
@@ -44,6 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as packed sequences."""
     out = packing.pack(docs)
@@ -60,8 +84,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and reread."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
+    for name, step in STAGES:
+        out = step(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return docs
