@@ -92,8 +92,9 @@ def pack(
     # One row a partition: the sum's window runs over task totals, not over documents.
     totals = stream.groupBy("pid").agg(F.sum("n").alias("total"))
     starts = totals.select("pid", (F.sum("total").over(Window.orderBy("pid")) - F.col("total")).alias("base"))
-    # At most one row per partition of pass one, so broadcasting it is bounded by the task count.
-    placed = stream.join(F.broadcast(starts), "pid").select("doc", (F.col("base") + F.col("at")).alias("at"), "n", "packed")
+    # One row per task of pass one, written so that its size is known: Spark broadcasts
+    # it below its own threshold and sorts and merges by partition beyond.
+    placed = stream.join(materialise(starts, "pack-starts"), "pid").select("doc", (F.col("base") + F.col("at")).alias("at"), "n", "packed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
