@@ -21,7 +21,7 @@ from typeframe.functions.udfs import Function
 from typeframe.plans import schema_ops
 from typeframe.plans.errors import ModelError, SchemaError
 from typeframe.plans.models import Model, as_model
-from typeframe.plans.paths import as_list, decompose, parts, quoted
+from typeframe.plans.paths import decompose, parts, quoted
 
 #: Fixed spellings of join modes.
 MODES = ("inner", "cross", "outer", "full", "fullouter", "full_outer", "left", "leftouter", "left_outer", "right", "rightouter", "right_outer")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import JSON, Data, Graph, Relation, avg, build_graph, col, count, func, lit, max_, median, migrate, min_, product, sum_
+from . import JSON, Data, Relation, avg, build_graph, col, count, func, max_, median, migrate, min_, product, sum_
 from .operators import graph as G
 from .plans.models import Model
 
@@ -283,5 +283,3 @@ def oracle_sql() -> dict[str, str]:
     found |= {f"join_{k}": f"SELECT c_custkey, c_nationkey, s_suppkey, s_nationkey FROM {sides.format(sql)}" for k, sql in _JOIN.items()}
     return found
 
-
-__all__ = ["Graph", "lit", "oracle_sql", "polarisation", "queries"]
