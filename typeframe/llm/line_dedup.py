@@ -79,11 +79,14 @@ def line_dedup(
     tokens = rest.select("leaf", "leaf_docs", "k1", "k2", "n_docs", "first", F.posexplode(F.split("m", " ")).alias("pos", "token"))
     common = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("c"), F.first("leaf_docs").alias("leaf_docs")).filter(F.col("c") * 2 > F.col("leaf_docs")).select("leaf", "pos", "token")
     general = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("general"))
+    # Tables on both sides of a join let Spark split a busy leaf.
+    general = materialise(general, "line-general")
     words = F.split("m", " ")
     agree = F.size(F.filter(F.transform(words, lambda t, i: F.coalesce(F.element_at("general", i) == t, F.lit(False))), lambda hit: hit))
     members = rest.join(general, "leaf").filter(agree >= F.size(words) * similarity).select("leaf", "k1", "k2", "n_docs", "first")
+    members = materialise(members, "line-members")
     leaves = members.groupBy("leaf").agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("leaf_first")).filter(F.col("n_docs") >= min_docs).select("leaf", "leaf_first")
-    generalised = members.join(leaves, "leaf").select("k1", "k2", F.col("leaf_first").alias("first"))
+    generalised = members.join(materialise(leaves, "line-busy"), "leaf").select("k1", "k2", F.col("leaf_first").alias("first"))
 
     templates = materialise(recurring.union(generalised), "templates")
     hits = lines.select("doc", "body", "pos", "k1", "k2").join(templates, ["k1", "k2"])
