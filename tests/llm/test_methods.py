@@ -188,6 +188,29 @@ def test_shards(spark):
     assert sum(len(s) > 1 for s in at.values()) <= 0.02 * len(at)
 
 
+def test_shards_keep_large_groups_together(spark):
+    # A third of all rows share a text, a half come in pairs, and the rest are alone.
+    texts = ["hot" if i % 3 == 0 else f"pair{i // 6}-{i % 3}" if i % 4 < 3 else f"t{i}" for i in range(8000)]
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert set(Counter(x["shard"] for x in rows).values()) == {200}
+    at = defaultdict(set)
+    for x in rows:
+        at[texts[x["doc_id"]]].add(x["shard"])
+    assert len(at.pop("hot")) == math.ceil(texts.count("hot") / 200)
+    assert all(len(s) == 1 for s in at.values())
+
+
+def test_shards_when_all_rows_are_linked(spark):
+    texts = [f"t{i // 2}" for i in range(4000)]
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert set(Counter(x["shard"] for x in rows).values()) == {100}
+    at = defaultdict(set)
+    for x in rows:
+        at[texts[x["doc_id"]]].add(x["shard"])
+    # At most a cut at either end of a shard.
+    assert sum(len(s) > 1 for s in at.values()) <= 80
+
+
 # 5
 
 

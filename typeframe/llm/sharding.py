@@ -1,17 +1,19 @@
 """Balanced label propagation into shards of equal row counts, in SQL functions only.
 
 Rows that share a group are linked through it, as in a bipartite graph of
-rows and groups.  Every row starts in a shard by its rank, so all quotas are
-met.  In each round a linked row wants the shard where most of its group is,
-among the shards with room; a round's flows (source shard, target shard,
-slice) are admitted while the target's quota holds.  Unlinked rows are
-indifferent to where they are, so only their number per shard is tracked: they
-fill the quotas that the linked rows leave.  A group above a quota must be
-cut, so it is first split into clusters that each fit a shard.
+rows and groups.  Groups start packed whole, the largest first: a group too
+large for any shard's room fills as few shards as it can, and small groups are
+packed in slices.  In each round a linked row wants the shard where most of its
+group is, among the shards with room, and else stays; a round's flows (source
+shard, target shard, slice) are admitted while the target's quota holds, until
+nothing moves.  Unlinked rows are indifferent to where they are, so only their
+number per shard is tracked: they fill the quotas that the linked rows leave.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from .common import materialise
 #: Rows ranked together by one task; flows are admitted in so many slices.
 BUCKET_ROWS = 20_000
 SLICES = 8
+#: A group above this part of a quota is packed by itself; there are as many slices of small groups in a shard.
+FINE = 16
 
 
 def ranked(rows: DataFrame, within: list[str], buckets: int, order: list[str], name: str) -> DataFrame:
@@ -39,9 +43,13 @@ def quota(n: int, shards: int) -> list[int]:
     return [n // shards + (j < n % shards) for j in range(shards)]
 
 
-def balanced_shards(rows: DataFrame, *, id_col: str, group_cols: list[str], shards: int = 40, rounds: int = 6) -> DataFrame:
+def balanced_shards(rows: DataFrame, *, id_col: str, group_cols: list[str], shards: int = 40, rounds: int | None = None) -> DataFrame:
     """Add ``shard``, with row counts at most one apart and groups kept whole.
 
+    A group is cut only where it exceeds the room that larger ones leave, or at
+    the end of a slice that does.  ``rounds`` bounds the rounds of propagation;
+    each one that moves anything joins parts of a group, so they end by themselves.
+
     Rows with a null in ``group_cols`` are unlinked.  Repeated ids, ties and
     copies of a row are ranked one by one; fewer rows than shards leave some
     shards empty; an empty table gives no rows; other columns are carried.
@@ -54,15 +62,25 @@ def balanced_shards(rows: DataFrame, *, id_col: str, group_cols: list[str], shar
     quotas = quota(n, shards)
 
     sizes = base.filter("_g is not null").groupBy("_g").agg(F.count("*").alias("_size")).filter("_size > 1")
-    room = max(1, int(0.8 * min(quotas))) if n >= shards else 1
-    sizes = materialise(sizes.withColumn("_parts", F.ceil(F.col("_size") / room).cast("long")), "shard-groups")
-    part = F.pmod(F.xxhash64("_idx"), F.col("_parts"))
-    linked = base.select("_idx", "_g").join(sizes, "_g").select("_idx", F.xxhash64("_g", part).alias("cluster"), F.pmod("_idx", F.lit(shards)).cast("int").alias("shard"))
+    cluster, large = F.xxhash64("_g"), F.col("_size") * FINE > min(quotas)
+    item = F.when(large, cluster).otherwise(F.pmod(cluster, F.lit(shards * FINE)))
+    sizes = materialise(sizes.select("_g", "_size", cluster.alias("cluster"), large.alias("_large"), item.alias("_item")), "shard-groups")
+    # At most shards * FINE slices and as many large groups, however many rows there are.
+    items = [(r["_large"], r["_item"], r["c"]) for r in sizes.groupBy("_large", "_item").agg(F.sum("_size").alias("c")).collect()]
+    pieces = base.sparkSession.createDataFrame(_pack(items, quotas), "_large boolean, _item long, _lo long, _hi long, shard int")
+    members = materialise(base.select("_idx", "_g").join(sizes, "_g").select("_idx", "cluster", "_large", "_item"), "shard-members")
+    alone = ranked(members.filter("_large"), ["_item"], buckets, ["_idx"], "_at")
+    # A slice's groups follow each other, so that a cut through it cuts one group.
+    sliced = members.filter("not _large").withColumn("_at", F.row_number().over(Window.partitionBy("_item").orderBy("cluster", "_idx")).cast("long") - 1)
+    ranks = alone.unionByName(sliced).alias("r")
+    same = F.expr("r._large = p._large and r._item = p._item and r._at >= p._lo and r._at < p._hi")
+    linked = ranks.join(F.broadcast(pieces.alias("p")), same).select("_idx", "cluster", "shard")
     linked = materialise(linked, "shard-linked")
     held = _held(linked, shards)
-    for turn in range(rounds):
+    for turn in count() if rounds is None else range(rounds):
         wanted = materialise(_targets(linked, quotas, held, turn), "shard-targets")
-        moves = linked.join(wanted, "cluster").withColumn("slice", F.pmod(F.xxhash64("cluster", F.lit(turn)), F.lit(SLICES)).cast("int"))
+        # A cluster that no shard has room for stays where it is.
+        moves = linked.join(wanted, "cluster", "left").withColumn("target", F.coalesce("target", "shard")).withColumn("slice", F.pmod(F.xxhash64("cluster", F.lit(turn)), F.lit(SLICES)).cast("int"))
         # At most shards * shards * SLICES sums, however many rows there are.
         flows = moves.filter("shard != target").groupBy("shard", "target", "slice").agg(F.count("*").alias("c")).collect()
         admitted = _admit(flows, quotas, held)
@@ -83,6 +101,21 @@ def balanced_shards(rows: DataFrame, *, id_col: str, group_cols: list[str], shar
     return placed.filter("shard is not null").unionByName(fillers).drop("_g", "_idx")
 
 
+def _pack(items: list[tuple[bool, int, int]], quotas: list[int]) -> list[tuple[bool, int, int, int, int]]:
+    """Items (large, name, size) as pieces (large, name, from, to, shard): best fit, the largest first, cut only where none fits."""
+    free, pieces = list(quotas), []
+    for big, name, size in sorted(items, key=lambda x: (-x[2], x[:2])):
+        at = 0
+        while at < size:
+            fits = [j for j, f in enumerate(free) if f >= size - at]
+            j = min(fits, key=lambda j: free[j]) if fits else max(range(len(free)), key=lambda j: free[j])
+            end = min(size, at + free[j])
+            pieces.append((big, name, at, end, j))
+            free[j] -= end - at
+            at = end
+    return pieces
+
+
 def _held(linked: DataFrame, shards: int) -> list[int]:
     """Linked rows in each shard; one row a shard reaches the driver."""
     counts = {r["shard"]: r["c"] for r in linked.groupBy("shard").agg(F.count("*").alias("c")).collect()}
@@ -116,7 +149,7 @@ def _admit(flows: list, quotas: list[int], held: list[int]) -> set[int]:
         left = waiting
 
 
-def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int | None = None) -> DataFrame:
     """Shard documents by row count, keeping equal texts together.
 
     Returns ``id_col``, ``size`` (UTF-8 bytes plus 16), ``text_crc32``,
