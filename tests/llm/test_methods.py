@@ -268,6 +268,13 @@ def test_article_text_stays_when_pages_repeat(spark):
     assert {x["text"] for x in html_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same text"}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<html><body><div><h1>One story</h1><p>Told once</p></div></body></html>"
+    rows = [(i, "http://h/x", copy) for i in (0, 1, 2, 2)] + [(4, "http://h/y", "<html><body><p>Other</p></body></html>"), (5, "http://h/z", "<html><body><p>Third</p></body></html>")]
+    got = {x["page_id"]: x["text"] for x in html_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "One story Told once", 1: "One story Told once", 2: "One story Told once", 4: "Other", 5: "Third"}
+
+
 # 7
 
 

@@ -174,26 +174,32 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     A null or empty html has an empty text; a null or odd url has its own
     host, the empty one; pages of a host below the least count have no
-    template and are cut by their marks alone; repeated pages count one by
-    one in a vector, and their own text is kept where an article is marked;
+    template and are cut by their marks alone; copies of a page count once, so
+    that they do not turn its own text into template;
     very long pages are parsed whole; an empty table gives no rows; other
     columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     source = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).cast("string").alias("html"))
+    bodies = source.withColumn("body", F.xxhash64("html")).select("host", "body", "html")
+    # Where the list of copies can be broadcast, only the pages on it are shuffled whole.
+    copies = materialise(bodies.groupBy("host", "body").agg(F.count("*").alias("n")).filter("n > 1").select("host", "body"), "page-copies")
+    once = bodies.join(copies, ["host", "body"], "left_anti")
+    first = bodies.join(copies, ["host", "body"], "left_semi").groupBy("host", "body").agg(F.any_value("html").alias("html"))
+    different = once.unionByName(first)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Vectors over the batch's pages: each page adds its mark to the tokens it holds."""
         for batch in batches:
             sums: dict[tuple[int, int], list[int]] = {}
-            for number, h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for h, body, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 nodes = parse(source or "").nodes
                 count = Counter(n.token for n in nodes)
                 first = {}
                 for i, n in enumerate(nodes):
                     first.setdefault(n.token, i)
                 for t, c in count.items():
-                    mark = _id(number, c)
+                    mark = _id(body, c)
                     s = sums.setdefault((h, t), [0, 0, 0, 0])
                     s[0] += 1
                     # Two 31-bit sums stand for the vector; they cannot overflow a long.
@@ -204,9 +210,9 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "token", "n", "v1", "v2", "place"])
 
-    vectors = source.select("page", "host", "html").mapInArrow(occurrences, "host long, token long, n long, v1 long, v2 long, place long")
+    vectors = different.select("host", "body", "html").mapInArrow(occurrences, "host long, token long, n long, v1 long, v2 long, place long")
     vectors = vectors.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("n", "v1", "v2", "place")))
-    counts = source.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = bodies.groupBy("host").agg(F.count_distinct("body").alias("pages"))
     # Only tokens of enough pages can be in a valid class; a page has few of those.
     frequent = vectors.filter(F.col("n") >= MIN_PAGES).join(counts, "host").filter(F.col("n") >= F.col("pages") * MIN_SHARE)
     frequent = materialise(frequent.withColumn("place", F.col("place") / F.col("n")), "template-tokens")
