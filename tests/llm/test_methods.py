@@ -275,6 +275,22 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got == {0: "One story Told once", 1: "One story Told once", 2: "One story Told once", 4: "Other", 5: "Third"}
 
 
+def test_template_inside_and_beside_articles(spark):
+    own = lambda i: f"<h1>Story {i}</h1><p>A text of its own, number {i * 7}</p>"
+    kinds = {
+        "inside": lambda i: f"<body><article>{own(i)}<div>Read more here</div></article></body>",
+        "teaser": lambda i: f"<body><div>{own(i)}</div><div><article><b>Teaser {i}</b></article></div><i>Bye</i></body>",
+        "near": lambda i: f"<body><article><h1>Same story</h1><p>The same text everywhere</p></article><i>{i}</i></body>",
+    }
+    rows = [(i, f"http://{k}/", f"<html>{page(i)}</html>") for k, page in kinds.items() for i in range(6)]
+    got = html_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).filter("page_id = 2").collect()
+    assert {x["url"]: x["text"] for x in got} == {
+        "http://inside/": "Story 2 A text of its own, number 14",
+        "http://teaser/": "Story 2 A text of its own, number 14 Teaser 2",
+        "http://near/": "Same story The same text everywhere",
+    }
+
+
 # 7
 
 

@@ -9,8 +9,10 @@ by the span they enclose and make up the host's template; what lies in the
 gaps between template tokens are the slots.  Constant texts belong to the
 template, slots under page furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, comments) are left out, and the rest is the page's
-text.  Where a page marks its article, only slots inside count, and text
-inside is never taken for template.
+text.  An article mark is a hint: the slots inside it are the text, unless the
+slots outside hold more than the whole article, as where only teasers are
+marked; then all slots are.  An article that is mostly template is one whose
+near copies fill its host, and is kept whole.
 """
 
 from __future__ import annotations
@@ -151,18 +153,21 @@ def parse(source: str) -> Page:
 
 def extract(page: Page, template: frozenset[int] = frozenset()) -> str:
     """The text of the page's slots, white space collapsed, blocks joined by one space."""
+    texts = [n for n in page.nodes if n.text is not None and not n.skip]
+    size = lambda nodes: sum(len("".join(n.text.split())) for n in nodes)
+    kept = slots = [n for n in texts if n.token not in template]
+    if page.has_article:
+        article, inside = [n for n in texts if n.inside], [n for n in slots if n.inside]
+        # Without a template nothing tells slots from the rest, and the mark alone decides.
+        if not template or size(slots) - size(inside) <= size(article):
+            kept = inside if 2 * size(inside) >= size(article) else article
+    chosen = set(map(id, kept))
     blocks: list[list[str]] = []
     for n in page.nodes:
         if n.border or not blocks:
             blocks.append([])
-        if n.text is None or n.skip:
-            continue
-        if page.has_article:
-            if not n.inside:
-                continue
-        elif n.token in template:
-            continue
-        blocks[-1].append(n.text)
+        if id(n) in chosen:
+            blocks[-1].append(n.text)
     return " ".join(x for x in (" ".join("".join(b).split()) for b in blocks) if x)
 
 
