@@ -255,6 +255,29 @@ def test_extract():
         html_template.extract(html_template.parse(odd))
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="post has-sidebar sidebar"><article>{}</article></body>',
+        '<body><div id="page" class="no-sidebar">{}</div></body>',
+        '<body><article class="post header-image">{}</article></body>',
+        '<body><main class="search-page search">{}</main></body>',
+        '<body><section class="legal-analysis">{}</section></body>',
+        '<body><div class="sidebar"><div class="share">x</div><article>{}</article></div></body>',
+        "<body><form><nav>n</nav><article>{}</article></form></body>",
+    ],
+)
+def test_marks_of_a_page_are_not_furniture(page):
+    text = "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>"
+    assert html_template.extract(html_template.parse(page.format(text))) == "Let x=2 be"
+
+
+@pytest.mark.parametrize("mark", ["sidebar", "site-header", "ad-slot-2", "cookie_notice", "nav-bar", "related-posts", "post-comments", "share-buttons"])
+def test_compounds_of_marks_are_furniture(mark):
+    page = f'<body><article><p>Own</p><div class="x {mark}">y</div></article><div id="{mark}"><article>Text of a card</article></div></body>'
+    assert html_template.extract(html_template.parse(page)) == "Own"
+
+
 def test_template_drops_what_pages_share(spark):
     page = lambda i: f"<html><body><div><span>Brand</span></div><div><p>Story {i}</p><p>Part {i * 7}</p></div><div><i>Bye</i></div></body></html>"
     rows = [(i, f"http://h/{i}", page(i)) for i in range(8)] + [(99, "http://lone/", page(99))]

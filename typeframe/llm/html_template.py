@@ -39,20 +39,27 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg math textarea select object canvas".split())
+RAW = set("script style noscript template iframe svg annotation annotation-xml textarea select object canvas".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math menclose mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 #: An open paragraph ends before these.
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: An open element of the first kind ends before one of its second.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 FURNITURE = set("nav header footer aside form button menu dialog head title".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id values that mark furniture.
+#: Class and id values that mark furniture, by themselves or together.
 MARKS = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead topbar footer foot sidebar aside related recommended share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr "
     "notice notices alert popup modal overlay comment comments disqus respond reply replies pagination pager widget toolbar copyright legal form search".split()
 )
+#: What else may stand before and after marks in a compound, as in site-header and ad-slot-2.
+BEFORE = set("site page main global top bottom left right primary secondary mobile desktop sticky fixed floating".split())
+AFTER = set("bar box block list item items link links button buttons btn wrapper wrap container area panel slot unit inner outer icons posts articles stories".split())
+COMPOUNDS = {"post-comments", "article-comments", "entry-comments", "post-share", "article-share", "share-this", "share-post", "post-nav", "post-navigation"}
+#: Elements that no class or id makes furniture.
+WHOLE = {"html", "body", "main", "article"}
 ARTICLE_MARKS = {"articlebody", "article-body", "article-content", "post-content", "entry-content", "post-body", "main-content", "story-body"}
 
 
@@ -74,24 +81,45 @@ class Page:
     has_article: bool = False
 
 
-def _marks(attributes: dict[str, str]) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it holds the article, by its attributes."""
-    value = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    words = value.split()
-    parts = {w for x in words for w in re.split(r"[-_]+", x)}
+def _furniture(word: str) -> bool:
+    """Whether a class or id is a furniture mark or a listed compound of marks."""
+    if word in MARKS or word in COMPOUNDS:
+        return True
+    parts = re.split(r"[-_]+", word)
+    while parts and parts[0] in BEFORE:
+        del parts[0]
+    while parts and (parts[-1] in AFTER or parts[-1].isdigit()):
+        del parts[-1]
+    return bool(parts) and all(p in MARKS for p in parts)
+
+
+def _marks(name: str, attributes: dict[str, str]) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture by role or hidden, whether by class or id, and whether it holds the article."""
+    words = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
     body = bool(ARTICLE_MARKS.intersection(words)) or "articlebody" in attributes.get("itemprop", "").lower()
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    return not body and (bool(parts & MARKS) or bool(ROLES.intersection(attributes.get("role", "").lower().split())) or hidden), body or attributes.get("role", "").lower() == "main"
+    named = name not in WHOLE and any(map(_furniture, words))
+    return not body and (bool(ROLES.intersection(attributes.get("role", "").lower().split())) or hidden), not body and named, body or attributes.get("role", "").lower() == "main"
 
 
 def _id(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) >> 1
 
 
-def parse(source: str) -> Page:
-    """The page's tokens in order; unclosed and misnested tags close as browsers close them."""
+def _size(nodes: list[Node]) -> int:
+    return sum(len("".join(n.text.split())) for n in nodes if n.text is not None)
+
+
+def parse(source: str, wrappers: frozenset[int] = frozenset()) -> Page:
+    """The page's tokens in order; unclosed and misnested tags close as browsers close them.
+
+    A form, or an element that is furniture by its class or id, is a mere
+    wrapper if the page's only articles are in it and hold more text than is
+    outside; ``wrappers`` are the places of such elements.
+    """
     page = Page()
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, furniture, article
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # name, path, furniture, article, furniture that could be a wrapper
+    enclosing: set[int] = set()
     turn: Counter[str] = Counter()
     at, border, end = 0, True, len(source)
 
@@ -100,7 +128,7 @@ def parse(source: str) -> Page:
         if not raw:
             return
         text = entities.unescape(raw)
-        path, skip, inside = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", False, False)
+        path, skip, inside = (stack[-1][1], stack[-1][2] or bool(stack[-1][4]), stack[-1][3]) if stack else ("", False, False)
         if text.strip():
             page.nodes.append(Node(_id("text", path, text.strip()), text, skip, inside, border))
             border = False
@@ -133,34 +161,41 @@ def parse(source: str) -> Page:
             if all(s[0] in INLINE for s in stack[last + 1 :]):
                 del stack[last:]
         attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {}
-        furniture, body = _marks(attributes) if attributes else (False, False)
-        skip, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        furniture, named, body = _marks(name, attributes) if attributes else (False, False, False)
+        skip, inside, soft = stack[-1][2:] if stack else (False, False, ())
         article = name in ("article", "main") or body
         # A header or form inside the article is furniture too.
         path = f"{stack[-1][1]}/{name}" if stack else name
         turn[path] += 1
-        skip = skip or furniture or name in FURNITURE or name in RAW
-        inside = inside or (article and not skip)
-        page.has_article |= article and not skip
-        page.nodes.append(Node(_id("tag", path, turn[path]), None, skip, inside, border))
+        skip = skip or furniture or (name in FURNITURE and name != "form") or name in RAW
+        if (named or name == "form") and len(page.nodes) not in wrappers:
+            soft = (*soft, len(page.nodes))
+        if article and not skip:
+            enclosing.update(soft)
+            inside = inside or not soft
+            page.has_article |= not soft
+        page.nodes.append(Node(_id("tag", path, turn[path]), None, skip or bool(soft), inside, border))
         if name in RAW and not m[3].rstrip().endswith("/"):
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = close.end() if close else end
         elif name not in VOID:
-            stack.append((name, path, skip, inside))
+            stack.append((name, path, skip, inside, soft))
+    if enclosing and not page.has_article and not wrappers:
+        opened = parse(source, frozenset(enclosing))
+        if _size([n for n in opened.nodes if n.inside and not n.skip]) > _size([n for n in page.nodes if not n.skip]):
+            return opened
     return page
 
 
 def extract(page: Page, template: frozenset[int] = frozenset()) -> str:
     """The text of the page's slots, white space collapsed, blocks joined by one space."""
     texts = [n for n in page.nodes if n.text is not None and not n.skip]
-    size = lambda nodes: sum(len("".join(n.text.split())) for n in nodes)
     kept = slots = [n for n in texts if n.token not in template]
     if page.has_article:
         article, inside = [n for n in texts if n.inside], [n for n in slots if n.inside]
         # Without a template nothing tells slots from the rest, and the mark alone decides.
-        if not template or size(slots) - size(inside) <= size(article):
-            kept = inside if 2 * size(inside) >= size(article) else article
+        if not template or _size(slots) - _size(inside) <= _size(article):
+            kept = inside if 2 * _size(inside) >= _size(article) else article
     chosen = set(map(id, kept))
     blocks: list[list[str]] = []
     for n in page.nodes:
