@@ -111,6 +111,16 @@ def test_ids_are_the_tokenizers(spark):
     assert packing.byte_bpe_ids(texts) == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_tokens_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "Zoë  <|endoftext|>  \n x <|endoftext|><|endoftext|>", "<|endoftext| >", ""]
+    assert packing.byte_bpe_ids(texts) == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert packing.byte_bpe_ids(texts[:1]) == [[50256]]
+
+
 @pytest.mark.parametrize("window", [1, 7, 16])
 def test_pack_against_one_stream(spark, window):
     texts = [(i, "x" * (i % 5)) for i in range(40)]

@@ -31,22 +31,25 @@ BATCH_TOKENS = 1 << 20
 def _byte_bpe(name: str):
     """The byte-level vocabulary ``<name>.json`` as a rank encoder.
 
-    The ranks of ``<name>.tiktoken`` are the same vocabulary and give the ids
-    that ``tokenizers`` gives with ``encode_special_tokens``; the strings of
-    special tokens inside a text stay ordinary text.
+    The ranks of ``<name>.tiktoken`` are the same vocabulary; with the added
+    tokens of ``<name>.json``, found inside texts, they give the ids that
+    ``tokenizers`` gives.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def byte_bpe_ids(texts: list[str], name: str = "byte_bpe_50k") -> list[list[int]]:
-    return _byte_bpe(name).encode_ordinary_batch(texts, num_threads=1)
+    return _byte_bpe(name).encode_batch(texts, num_threads=1, allowed_special="all")
 
 
 def pack(
