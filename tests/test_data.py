@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from typeframe import JSON, Data, ModelError, Relation, SchemaError, avg, col, count, func, lit, max_, median, min_, product, sum_, timed
+from typeframe.functions import register
 
 from .helpers import schema
 
@@ -186,3 +187,50 @@ def test_pushdown_and_pruning(spark, tmp_path):
     d = Data(spark.read.parquet(path), Relation).filter(col("x") > 10).select("id")
     plan = d.to_df()._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(x,10)" in plan and "ReadSchema: struct<id:bigint,x:bigint>" in plan
+
+
+def test_long_lists(base):
+    names = [f"n{i}" for i in range(5000)]
+    assert base.filter(col("att1").is_in(*names, "A")).count() == 1
+    assert base.filter(col("att1").is_in("x", col("att1"))).count() == base.count()
+    with pytest.raises(SchemaError):
+        base.filter(col("att1").is_in("A", 1))
+    with pytest.raises(SchemaError):
+        base.filter(col("att1").is_in())
+
+
+def test_int_functions_are_long(spark, base):
+    def wide(name: str) -> int:
+        return 2**40 + len(name)
+
+    got = base.add("w", func(wide, "att1")).keep_model()
+    assert got.schema["w"].dataType == T.LongType() and {r["w"] for r in got.to_df().collect()} == {2**40 + 1}
+    assert base.add("w", func(lambda_of_int, "att2", returns=T.IntegerType())).schema["w"].dataType == T.IntegerType()
+    register(spark, "test_wide", wide)
+    assert spark.sql("SELECT test_wide('abc') AS w").first()["w"] == 2**40 + 3
+
+
+def lambda_of_int(x: int) -> int:
+    return x + 1
+
+
+def test_prefixed_join(base):
+    both = base.join(base, col("att1") == col("att1"), right_prefix="r_").keep_left_model()
+    assert both.schema.fieldNames() == ["att1", "att2", "att3", "r_att1", "r_att2", "r_att3"]
+    assert both.filter(col("att1") == col("r_att1")).count() == base.count()
+    with pytest.raises(SchemaError):
+        base.join(both, col("att1") == col("att1"), right_prefix="r_")
+
+
+def test_prints(base, capsys):
+    base.show(2, False)
+    assert "|A   |1   |true |" in capsys.readouterr().out
+    base.describe("B", show_data=True)
+    out = capsys.readouterr().out
+    assert "B" in out and "Relation" in out and "- att2: Int" in out and "only" not in out and "|   A|" in out
+    base.print_dataset("few")
+    assert "att1='A'" in capsys.readouterr().out
+    many = base.union(base).union(base).union(base)
+    many.print_dataset("many")
+    out = capsys.readouterr().out
+    assert "many" in out and "att1='A'" not in out

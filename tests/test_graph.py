@@ -114,26 +114,92 @@ def test_sources(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    fields = schema("ts string, a int, b int")
-    rows = spark.createDataFrame([("2026-01-01 00:00:01", 1, 2), ("2026-01-01 00:00:02", 1, 2), ("2026-01-01 01:00:00", 1, 2)], fields)
-    rows.write.parquet(str(tmp_path / "in"))
-    data = read_stream(spark, str(tmp_path / "in"), fields, JSON)
-    with pytest.raises(SchemaError):
-        windowed_edges(data, "ts", "a", "b", window="1 minute", late="1 minute")
-
-    class Timed(type(JSON)):
-        def validate(self, schema):
-            return None
-
-    timed = Data(data.to_df().withColumn("ts", F.to_timestamp("ts")), Timed())
-    query = windowed_edges(timed, "ts", "a", "b", window="1 minute", late="1 minute").writeStream.format("memory").queryName("edges").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert [(r["source"], r["dest"], r["weight"]) for r in spark.table("edges").collect()] == [(1, 2, 2)]
+    fields = schema("ts timestamp, n struct<a:int>, b int")
+    rows = [("2026-01-01 00:00:01", (1,), 2), ("2026-01-01 00:00:02", (1,), 2), ("2026-01-01 01:00:00", (1,), 2), (None, (1,), 2)]
+    spark.createDataFrame(rows, "ts string, n struct<a:int>, b int").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
+    with pytest.raises(ModelError):
+        read_stream(spark, str(tmp_path / "in"), fields, JSON)
+    data = read_stream(spark, str(tmp_path / "in"), fields, JSON, time="ts")
+    assert data.model == JSON and data.schema["ts"].dataType == T.LongType()
+    text = Data(data.to_df().withColumn("ts", F.timestamp_micros("ts").cast("string")), JSON)
+    for name, stream in (("micros", data), ("texts", text)):
+        with pytest.raises(SchemaError):
+            windowed_edges(stream, "b", "n.a", "b", window="1 minute", late="1 minute")
+        query = windowed_edges(stream, "ts", "n.a", "b", window="1 minute", late="1 minute").writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+        query.processAllAvailable()
+        query.stop()
+        assert [(r["source"], r["dest"], r["weight"]) for r in spark.table(name).collect()] == [(1, 2, 2)]
 
 
 def test_workflow(spark):
-    posts = Data(spark.createDataFrame([(a, b) for a, _, b, _, w in EDGES for _ in range(w)], "a int, b int"), Relation)
-    found = Data(spark.createDataFrame([(n, n // 3) for n in range(5)], "node int, community int"), Relation)
-    out = G.Workflow(strict=False).run(posts, posts, found, source="a", first_dest="b", second_dest="b", node="node")
-    assert out.columns == ["i", "j", "antagonism", "porosity"]
+    # Two communities of five pass the first graph's limit, that of node 10 does not.
+    of = {n: n // 5 for n in range(11)}
+    first = [(n, n + 1) for n in range(10) if n != 4]
+    r = random.Random(8)
+    second = [(a, b) for a in range(11) for b in range(12) if a != b and r.random() < 0.3 for _ in range(r.randint(1, 3))]
+    posts = Data(spark.createDataFrame([(a, b, None) for a, b in first] + [(a, None, b) for a, b in second], "a int, b int, c int"), Relation)
+    found = Data(spark.createDataFrame(list(of.items()), "node int, community int"), Relation)
+    got = G.Workflow(strict=False).run(posts.filter(col("b").is_not_null()), posts.filter(col("c").is_not_null()), found, source="a", first_dest="b", second_dest="c", node="node")
+    pairs, ends = set(first), {n for p in first for n in p}
+    large = {c for c in of.values() if sum(of[n] == c for n in ends) >= (2 * len(pairs)) ** 0.5}
+    kept = {n for a, b in pairs if of[a] in large and of[b] in large for n in (a, b)}
+    assert large == {0, 1} and kept == set(range(10))
+    weights = {p: second.count(p) for p in second if set(p) <= kept}
+    want = dense([(a, of[a], b, of[b], w) for (a, b), w in weights.items()])
+    rows = {(r["i"], r["j"]): (r["antagonism"], r["porosity"]) for r in got.collect()}
+    assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k]) for k in want)
+    assert any(v != (0.0, 0.0) for v in want.values())
+
+
+def planted(spark, sizes, bridges):
+    """Cliques joined by single edges, nodes named apart from their clique."""
+    nodes = {(k, i): 100 * i + k for k, n in enumerate(sizes) for i in range(n)}
+    edges = [(nodes[k, i], nodes[k, j]) for k, n in enumerate(sizes) for i in range(n) for j in range(i)]
+    edges += [(nodes[k, 0], nodes[(k + 1) % len(sizes), 1]) for k in range(bridges)]
+    rows = Data(spark.createDataFrame([e for e in edges for _ in range(2)], "a int, b int"), Relation)
+    return build_graph(rows, col("a").alias("uid"), col("b").alias("uid")), {v: k for (k, _), v in nodes.items()}
+
+
+def groups(communities):
+    out = {}
+    for n, c in communities.items():
+        out.setdefault(c, set()).add(n)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize(("sizes", "bridges"), [([5, 6, 7], 3), ([4, 4, 4, 4, 4, 9], 6)])
+def test_communities_of_planted_cliques(spark, sizes, bridges):
+    g, of = planted(spark, sizes, bridges)
+    for found in (G.modularity_communities(g), G.propagate_communities(g)):
+        assert groups({r["node"]: r["community"] for r in found.to_df().collect()}) == groups(of)
+    best = G.modularity(g, Data(spark.createDataFrame(list(of.items()), "node int, community int"), Relation))
+    assert G.modularity(g, G.modularity_communities(g)) == pytest.approx(best)
+    alone = Data(spark.createDataFrame([(n, n) for n in of], "node int, community int"), Relation)
+    assert G.modularity(g, alone) < 0 < best
+
+
+def test_modularity_is_the_definition(spark):
+    g = graph(spark, EDGES)
+    w = {}
+    for a, _, b, _, x in EDGES:
+        w[a, b] = w.get((a, b), 0) + x
+        w[b, a] = w.get((b, a), 0) + x
+    of = {0: 0, 1: 0, 2: 0, 3: 1, 4: 1}
+    m2, k = sum(w.values()), {n: sum(x for (a, _), x in w.items() if a == n) for n in of}
+    want = sum(w.get((a, b), 0) - k[a] * k[b] / m2 for a in of for b in of if of[a] == of[b]) / m2
+    given = Data(spark.createDataFrame(list(of.items()), "node int, community int"), Relation)
+    assert G.modularity(g, given) == pytest.approx(want)
+    assert G.modularity(g, G.modularity_communities(g)) >= want - 1e-9
+    assert G.modularity_communities(Data(g.to_df().filter("false"), g.model)).count() == 0
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from typeframe.operators import lineage
+
+    class Cluster:
+        conf = spark.conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(Cluster)
+    assert lineage.shared_dir(spark)

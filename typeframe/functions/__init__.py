@@ -2,6 +2,6 @@
 
 from .expressions import Path, col, lit
 from .aggregates import avg, count, max_, median, min_, product, sum_
-from .udfs import func
+from .udfs import func, register
 
-__all__ = ["Path", "avg", "col", "count", "func", "lit", "max_", "median", "min_", "product", "sum_"]
+__all__ = ["Path", "avg", "col", "count", "func", "lit", "max_", "median", "min_", "product", "register", "sum_"]

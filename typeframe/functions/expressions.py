@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -78,7 +79,7 @@ class Operand(Expression):
         return NullTest(self, False)
 
     def is_in(self, *values):
-        return Any_([Compare("=", self, operand(v)) for v in values])
+        return In(self, [operand(v) for v in values])
 
     def between(self, low, high):
         return Compare(">=", self, operand(low)) & Compare("<=", self, operand(high))
@@ -94,7 +95,7 @@ class Path(Operand):
         self.names, self.new = parts(names), new
 
     def __rshift__(self, name: object) -> Path:
-        return Path((*self.names, *parts(name)))
+        return Path((*self.names, *parts(name)), getattr(name, "new", None))
 
     def alias(self, new: str) -> Path:
         return Path(self.names, new)
@@ -176,6 +177,13 @@ def common_type(what: str, a: Operand, b: Operand, left: T.StructType, right: T.
     return kind_a
 
 
+def combined(columns: list[Column], op: Callable) -> Column:
+    """The columns under one operator, as a balanced tree: its depth grows with their number's logarithm."""
+    while len(columns) > 1:
+        columns = [op(*columns[i : i + 2]) if i + 1 < len(columns) else columns[i] for i in range(0, len(columns), 2)]
+    return columns[0]
+
+
 class Predicate(Expression):
     def __and__(self, other: Predicate) -> Predicate:
         return All_([self, other])
@@ -226,6 +234,27 @@ class NullTest(Predicate):
         return c.isNull() if self.null else c.isNotNull()
 
 
+@dataclass(eq=False)
+class In(Predicate):
+    a: Operand
+    values: list[Operand]
+
+    def check(self, left, right):
+        if not self.values:
+            raise SchemaError(f"{self.a!r} is compared with no value")
+        # A constant's type depends on its value, so each is checked; constants of one type are one membership test.
+        for v in self.values:
+            common_type("in", self.a, v, left, right)
+        return T.BooleanType()
+
+    def column(self, left="", right=""):
+        a = self.a.column(left, left)
+        constants = [v.value for v in self.values if isinstance(v, Literal) and not isinstance(v.value, list)]
+        tests = [a.isin(constants)] if constants else []
+        tests += [a == v.column(right, right) for v in self.values if not isinstance(v, Literal) or isinstance(v.value, list)]
+        return combined(tests, operator.or_)
+
+
 @dataclass(eq=False)
 class Like(Predicate):
     a: Operand
@@ -254,18 +283,12 @@ class _Many(Predicate):
 
 class All_(_Many):
     def column(self, left="", right=""):
-        out = self.items[0].column(left, right)
-        for p in self.items[1:]:
-            out = out & p.column(left, right)
-        return out
+        return combined([p.column(left, right) for p in self.items], operator.and_)
 
 
 class Any_(_Many):
     def column(self, left="", right=""):
-        out = self.items[0].column(left, right)
-        for p in self.items[1:]:
-            out = out | p.column(left, right)
-        return out
+        return combined([p.column(left, right) for p in self.items], operator.or_)
 
 
 @dataclass(eq=False)

@@ -39,24 +39,22 @@ class Function(Expression):
         paths = self.over(left)
         if len(paths) != len(self.parameters):
             raise SchemaError(f"the function takes {len(self.parameters)} attributes, {len(paths)} are given")
-        wide = False
         for path, name in zip(paths, self.parameters, strict=True):
             kind, wanted = path.check(left, right), schema_ops.type_of(self.hints[name])
-            wide |= kind == T.LongType()
             if not (kind == wanted or (wanted == T.LongType() and isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)))):
                 raise SchemaError(f"{path!r} is {schema_ops.type_name(kind)}, the function takes {schema_ops.type_name(wanted)}")
-        if self.returns:
-            return self.returns
-        result = schema_ops.type_of(self.hints["return"])
-        # An int result stays as wide as the attributes it comes from.
-        return T.IntegerType() if result == T.LongType() and not wide else result
+        # An int annotation is Long, whatever the attributes are; ``returns`` narrows it.
+        return self.returns or schema_ops.type_of(self.hints["return"])
 
     def column_for(self, schema: T.StructType):
         return F.udf(self.f, self.check(schema, schema), useArrow=True)(*(p.column() for p in self.over(schema)))
 
 
 def func(f: Callable, *paths: object, returns: T.DataType | None = None) -> Function:
-    """``f`` over the given attributes, or over all top-level ones for ``"*"``."""
+    """``f`` over the given attributes, or over all top-level ones for ``"*"``.
+
+    The result has the annotated type (int is Long), or ``returns``.
+    """
     return Function(f, None if paths == ("*",) else [col(p) for p in paths], returns)
 
 

@@ -74,6 +74,7 @@ class Data:
 
     def print_dataset(self, name: str = "Dataset") -> None:
         """Print a banner, and the rows if there are fewer than ten."""
+        # Ten rows at most reach the driver: enough to know that there are fewer.
         rows = self._df.limit(10).collect()
         print(f"==== {name} ({self.model.name}) ====\n{schema_ops.as_string(self.schema)}", end="")
         if len(rows) < 10:
@@ -141,11 +142,12 @@ class Data:
 
     # Several rows at once
 
-    def join(self, other: Data, on: Predicate, mode: str = "inner") -> JoinPending | Data:
+    def join(self, other: Data, on: Predicate, mode: str = "inner", *, right_prefix: str | None = None) -> JoinPending | Data:
         """Join by predicates whose left side is here and right side there.
 
-        All attributes of both sides stay, repeated names included; semi and
-        anti joins filter this side.
+        All attributes of both sides stay, repeated names included; with
+        ``right_prefix`` a right attribute whose name the left has gets that
+        prefix, so that both can be named.  Semi and anti joins filter this side.
         """
         if mode not in MODES + FILTER_MODES:
             raise SchemaError(f"unknown join mode {mode}; there are {', '.join(MODES + FILTER_MODES)}")
@@ -153,7 +155,15 @@ class Data:
         on.check(self.schema, other.schema)
         left, right = self._df.alias("_left"), other._df.alias("_right")
         df = left.join(right, on.column("_left.", "_right."), mode)
-        return Data(df, self.model) if mode in FILTER_MODES else JoinPending(df, self.model, other.model)
+        if mode in FILTER_MODES:
+            return Data(df, self.model)
+        if right_prefix is not None:
+            left_names, right_names = self.schema.fieldNames(), other.schema.fieldNames()
+            new = [right_prefix + n if n in left_names else n for n in right_names]
+            if len({*left_names, *new}) < len(left_names) + len(new):
+                raise SchemaError(f"the prefix {right_prefix} does not tell {', '.join(new)} from {', '.join(left_names)}")
+            df = df.toDF(*left_names, *new)
+        return JoinPending(df, self.model, other.model)
 
     def group_by(self, *paths: object) -> Grouped:
         keys = [col(p) for p in paths]

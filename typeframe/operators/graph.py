@@ -66,10 +66,9 @@ def propagate_communities(graph: Data, rounds: int = 10) -> Data:
     the result is the same on every run.  Gives (node, community).
     """
     ids = _ids(graph)
-    weight = F.col("edge.weight") if "weight" in graph.schema["edge"].dataType.fieldNames() else F.lit(1)
-    ends = graph.to_df().select(F.col(f"source.{ids.source_id}").alias("a"), F.col(f"dest.{ids.dest_id}").alias("b"), weight.alias("w"))
-    links = ends.union(ends.select("b", "a", "w")).filter("a != b").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    labels = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn(COMMUNITY, F.col("node"))
+    links = _links(graph)
+    ends = graph.to_df().select(F.col(f"source.{ids.source_id}").alias("node")).union(graph.to_df().select(F.col(f"dest.{ids.dest_id}").alias("node")))
+    labels = ends.distinct().withColumn(COMMUNITY, F.col("node"))
     for _ in range(rounds):
         votes = links.join(labels, F.col("b") == F.col("node")).groupBy("a", COMMUNITY).agg(F.sum("w").alias("w"))
         # The largest weight, then the smallest label: two aggregations that combine early.
@@ -80,6 +79,82 @@ def propagate_communities(graph: Data, rounds: int = 10) -> Data:
     return Data(labels, Relation)
 
 
+def _links(graph: Data) -> DataFrame:
+    """(a, b, w): the edges read both ways, loops left out."""
+    ids = _ids(graph)
+    weight = F.col("edge.weight") if "weight" in graph.schema["edge"].dataType.fieldNames() else F.lit(1)
+    ends = graph.to_df().select(F.col(f"source.{ids.source_id}").alias("a"), F.col(f"dest.{ids.dest_id}").alias("b"), weight.cast("double").alias("w"))
+    return ends.union(ends.select("b", "a", "w")).filter("a != b").groupBy("a", "b").agg(F.sum("w").alias("w"))
+
+
+def _moved(links: DataFrame, strength: DataFrame, labels: DataFrame, total: float, turn: int) -> DataFrame:
+    """One round of local moves: a node goes where modularity grows most.
+
+    Half of the nodes, by a hash of node and round, may move in a round, so
+    that neighbours do not trade places for ever.
+    """
+    known = labels.join(strength, "node")
+    size = known.groupBy(COMMUNITY).agg(F.sum("k").alias("size"))
+    votes = links.filter("a != b").join(labels, F.col("b") == F.col("node")).groupBy("a", COMMUNITY).agg(F.sum("w").alias("w"))
+    own = known.select(F.col("node").alias("a"), "k", F.col(COMMUNITY).alias("_own"))
+    at = votes.join(own, "a").join(size, COMMUNITY)
+    stays = F.col(COMMUNITY) == F.col("_own")
+    gain = F.col("w") - F.col("k") * (F.col("size") - F.when(stays, F.col("k")).otherwise(0.0)) / total
+    # A node with no weight to its own community would leave one of its own strength.
+    alone = own.join(size, own["_own"] == size[COMMUNITY]).select("a", (-F.col("k") * (F.col("size") - F.col("k")) / total).alias("_alone"))
+    judged = at.select("a", COMMUNITY, F.round(gain, 9).alias("gain"), stays.alias("stays"))
+    best = judged.groupBy("a").agg(F.min(F.when(~F.col("stays"), F.struct((-F.col("gain")).alias("g"), F.col(COMMUNITY).alias("c")))).alias("to"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("here"))
+    better = best.join(alone, "a").filter(-F.col("to.g") > F.coalesce("here", "_alone") + 1e-9).filter(F.pmod(F.xxhash64("a", F.lit(turn // 2)), F.lit(2)) == turn % 2)
+    moved = labels.join(better.select(F.col("a").alias("node"), F.col("to.c").alias("_new")), "node", "left")
+    return moved.select("node", F.coalesce("_new", COMMUNITY).alias(COMMUNITY), F.col("_new").isNotNull().alias("_moved"))
+
+
+def modularity_communities(graph: Data, *, levels: int = 10, rounds: int = 8) -> Data:
+    """Communities of high modularity, by local moves and coarsening.
+
+    Edges are read both ways and weighted.  On each level every node starts as
+    its own community and moves to the neighbouring one that raises modularity
+    most, the smaller label on a tie; then communities become nodes, until
+    nothing moves.  Moves of a round are made at once, over joins on nodes and
+    communities only, and are the same on every run.  Gives (node, community),
+    a community named after one of its nodes.
+    """
+    ids = _ids(graph)
+    links = written(_links(graph), "links")
+    total = links.agg(F.sum("w")).first()[0] or 0.0
+    ends = graph.to_df().select(F.col(f"source.{ids.source_id}").alias("node")).union(graph.to_df().select(F.col(f"dest.{ids.dest_id}").alias("node")))
+    found = written(ends.distinct().withColumn(COMMUNITY, F.col("node")), "communities")
+    for _ in range(levels if total else 0):
+        strength = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+        labels, any_moved, quiet = strength.select("node", F.col("node").alias(COMMUNITY)), False, 0
+        for turn in range(2 * rounds):
+            state = written(_moved(links, strength, labels, total, turn), "moves")
+            moved = not state.filter("_moved").isEmpty()
+            labels, any_moved, quiet = state.drop("_moved"), any_moved or moved, 0 if moved else quiet + 1
+            if quiet == 2:
+                break
+        if not any_moved:
+            break
+        step = labels.select(F.col("node").alias("_at"), F.col(COMMUNITY).alias("_c"))
+        found = written(found.join(step, F.col(COMMUNITY) == F.col("_at"), "left").select("node", F.coalesce("_c", COMMUNITY).alias(COMMUNITY)), "communities")
+        a, b = (labels.select(F.col("node").alias(x), F.col(COMMUNITY).alias(f"_{x}")) for x in ("a", "b"))
+        links = written(links.join(a, "a").join(b, "b").groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.sum("w").alias("w")), "links")
+    return Data(found, Relation)
+
+
+def modularity(graph: Data, communities: Data) -> float:
+    """The modularity of a relation (node, community) on the graph, loops left out."""
+    links = _links(graph)
+    of = communities.to_df().select("node", COMMUNITY)
+    a, b = (of.select(F.col("node").alias(x), F.col(COMMUNITY).alias(f"_{x}")) for x in ("a", "b"))
+    placed = links.join(a, "a").join(b, "b")
+    total, inside = placed.agg(F.sum("w"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("w")))).first()
+    if not total:
+        return 0.0
+    squares = placed.groupBy("_a").agg(F.sum("w").alias("w")).agg(F.sum(F.col("w") * F.col("w"))).first()[0]
+    return (inside or 0.0) / total - squares / total**2
+
+
 def extract_nodes(graph: Data, model: Model = Relation) -> Data:
     """The distinct records of both ends, which have one schema."""
     _ids(graph)
@@ -156,7 +231,7 @@ def community_order(members: DataFrame) -> DataFrame:
     return members.groupBy("community").agg(F.count("*").alias("size")).orderBy(F.desc("size"), F.asc("community"))
 
 
-def polarisation(graph: Data, *, community: str = COMMUNITY, weight: str = "weight") -> DataFrame:
+def polarisation(graph: Data, *, community: str = COMMUNITY, weight: str = "weight", full: bool = True) -> DataFrame:
     """Antagonism and porosity of every ordered pair of communities.
 
     For node u and community j, ``md`` is u's weight into j.  u is internal
@@ -164,8 +239,11 @@ def polarisation(graph: Data, *, community: str = COMMUNITY, weight: str = "weig
     of its own community that are internal towards j; where both are positive
     u is a boundary node with value ms / (ms + md) - 1/2.  Antagonism is the
     mean value, porosity the percentage of negative ones; both are 0 without
-    boundary nodes and on the diagonal.
+    boundary nodes and on the diagonal.  The full matrix is the square of the
+    communities' number; without ``full`` only pairs with boundary nodes come.
     """
+    # Edges and membership both read the graph, so it is built once.
+    graph = Data(written(graph.to_df(), "graph"), graph.model)
     edges, members = as_matrices(graph, community=community, weight=weight)
     source = members.select(F.col("node").alias("source"), F.col("community").alias("i"))
     dest = members.select(F.col("node").alias("dest"), F.col("community").alias("j"))
@@ -183,6 +261,8 @@ def polarisation(graph: Data, *, community: str = COMMUNITY, weight: str = "weig
         F.avg(F.col("ms") / (F.col("ms") + F.col("md")) - 0.5).alias("antagonism"),
         (100.0 * F.sum((F.col("ms") < F.col("md")).cast("long")) / F.count("*")).alias("porosity"),
     )
+    if not full:
+        return cells.select("i", "j", "antagonism", "porosity")
     # The result itself is a matrix of communities; their number, not the graph's, is squared.
     names = placed.select(F.col("i").alias("community")).union(placed.select("j")).distinct()
     matrix = names.select(F.col("community").alias("i")).crossJoin(names.select(F.col("community").alias("j")))
@@ -209,5 +289,6 @@ class Workflow:
         nodes = extract_nodes(keep_significant(graph, strict=self.strict))
         nodes = Data(written(nodes.to_df(), "nodes"), nodes.model)
         other = integrate(interaction_graph(second, source, second_dest, self.label), nodes, key=self.label)
-        other = Data(written(other.to_df(), "integrated"), other.model)
-        return polarisation(keep_significant(other, strict=self.strict) if self.again else other)
+        if self.again:
+            other = keep_significant(Data(written(other.to_df(), "integrated"), other.model), strict=self.strict)
+        return polarisation(other)
