@@ -136,7 +136,7 @@ def test_workflow(spark):
     of = {n: n // 5 for n in range(11)}
     first = [(n, n + 1) for n in range(10) if n != 4]
     r = random.Random(8)
-    second = [(a, b) for a in range(11) for b in range(12) if a != b and r.random() < 0.3 for _ in range(r.randint(1, 3))]
+    second = [(a, b) for a in range(11) for b in range(12) if a != b and r.random() < (0.5 if a // 5 == b // 5 else 0.08) for _ in range(r.randint(1, 3))]
     posts = Data(spark.createDataFrame([(a, b, None) for a, b in first] + [(a, None, b) for a, b in second], "a int, b int, c int"), Relation)
     found = Data(spark.createDataFrame(list(of.items()), "node int, community int"), Relation)
     got = G.Workflow(strict=False).run(posts.filter(col("b").is_not_null()), posts.filter(col("c").is_not_null()), found, source="a", first_dest="b", second_dest="c", node="node")
