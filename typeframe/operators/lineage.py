@@ -22,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _test_dir()
 
