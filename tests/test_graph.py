@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,13 +196,14 @@ def test_modularity_is_the_definition(spark):
     assert G.modularity_communities(Data(g.to_df().filter("false"), g.model)).count() == 0
 
 
-def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+def test_cluster_needs_a_shared_folder():
     from typeframe.operators import lineage
 
-    class Cluster:
-        conf = spark.conf
-        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=SimpleNamespace(master=master))
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        lineage.shared_dir(Cluster)
-    assert lineage.shared_dir(spark)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            lineage.shared_dir(session(master))
+        assert lineage.shared_dir(session(master, "hdfs://shared/")) == "hdfs://shared"
+    assert lineage.shared_dir(session("local[4]"))
