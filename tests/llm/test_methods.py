@@ -236,8 +236,9 @@ def brute_jaccard(texts, size, threshold):
 
 @pytest.mark.parametrize(("size", "threshold"), [(3, Fraction(9, 10)), (5, Fraction(4, 5)), (1, Fraction(1, 2)), (2, Fraction(1))])
 def test_jaccard(spark, size, threshold, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LEAF", 24)
-    monkeypatch.setattr(jaccard_join, "TASK_ROWS", 16)
+    # Small bounds, so that Spark parts, reduces and blocks regions as it does large ones.
+    for name, bound in (("LEAF", 4), ("TASK_SETS", 24), ("TASK_ROWS", 16), ("BLOCK", 8)):
+        monkeypatch.setattr(jaccard_join, name, bound)
     r = random.Random(size)
     texts = []
     for _ in range(40):
@@ -252,6 +253,32 @@ def test_jaccard(spark, size, threshold, monkeypatch):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_jaccard(texts, size, threshold)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_regions_are_joined_exactly(seed):
+    r = random.Random(seed)
+    threshold, sets = r.choice([Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)]), []
+    for _ in range(r.choice([2, 5, 30])):
+        base = r.sample(range(3000), r.choice([3, 20, 150]))
+        for _ in range(r.choice([1, 2, 20, 40])):
+            rate = r.choice([0, 0.01, 0.04, 0.1])
+            sets.append({x if r.random() > rate else r.randrange(10**6) for x in base})
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) * threshold.denominator >= threshold.numerator * len(sets[i] | sets[j])]
+    want = roots(range(len(sets)), links)
+    got = jaccard_join.linked_stars(np.arange(len(sets)), [np.asarray(sorted(s), "i8") for s in sets], threshold, r.choice([2, 4, 16]))
+    assert {a: b for a, b, _ in got} == {i: c for i, c in want.items() if i != c}
+
+
+def test_pivots_find_links(spark):
+    """The method's own part, on the tables: regions are measured against pivots and parted."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    source = docs.select(F.col("doc_id").alias("doc"), jaccard_join.shingles(F.col("text"), 3).alias("s"))
+    digests = jaccard_join.materialise(jaccard_join._digests(source, Fraction(9, 10)), "test-sets")
+    reps = digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"))
+    sets = jaccard_join.region_sets(docs, digests, reps, id_col="doc_id", text_col="text", size=3)
+    links = jaccard_join.region_links(sets, Fraction(9, 10)).collect()
+    assert sum(x["by_pivot"] for x in links) > 50 and len(links) > 100
+
+
 # 6
 
 

@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typeframe.operators.lineage import removed_at_exit, shared_dir, working_path
+
+__all__ = ["discard", "let", "materialise", "remove", "scratch", "shared_dir", "table", "words_of"]
+
 #: Characters that separate words: space and \t \n \v \f \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-@lru_cache(maxsize=1)
-def _test_dir() -> str:
-    return tempfile.mkdtemp(prefix="typeframe-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in local tests, a temporary folder is made.
-    """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _test_dir()).rstrip("/")
-
-
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
@@ -55,15 +43,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a later stage that loses an executor rereads the
     table instead of recomputing, and values that depend on task layout are
-    fixed once written.
+    fixed once written.  The table lasts until it is discarded or the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/typeframe/{name}-{uuid.uuid4().hex}"
+    path = working_path(spark, name)
     if (paths := _SCRATCH.get()) is not None:
         paths.append(path)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    removed_at_exit(spark, path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no unwritten result reads any more."""
+    for t in tables:
+        remove(t.sparkSession, [t.written_at])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, *, large: bool) -> DataFrame:
-    """One star step over edges (a > b)."""
+    """One star step over the written edges (a > b), which it discards."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
@@ -31,7 +31,9 @@ def _star(edges: DataFrame, *, large: bool) -> DataFrame:
     else:
         least = materialise(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "components-least")
         moved = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return materialise(moved.filter("a != b").distinct(), "components-edges")
+    out = materialise(moved.filter("a != b").distinct(), "components-edges")
+    discard(edges, least)
+    return out
 
 
 def components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:

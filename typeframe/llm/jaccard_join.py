@@ -1,19 +1,25 @@
 """Exact Jaccard join of word n-gram sets in metric regions.
 
-Jaccard distance is a metric, but unrelated documents are all at a distance
-near 1 from any pivot, so pivots alone cannot part a corpus.  The regions of
-the first level therefore come from signatures that no linked pair can
-escape: sets of like size are cut by hash into one part more than the largest
-symmetric difference a linked pair can have, so a linked pair has an equal
-part.  Sets that share a part's hash, directly or through others, form a
-region.  A region that is larger than a leaf is cut again by the prefix filter
-in its own order of rarity, and what is still large is parted by pivots: every set is
-measured against them, joins the Voronoi cell of the nearest, and cells are
-cut into shells by that distance and into blocks of bounded size.  By the
-triangle inequality two sets within distance r have distances to every pivot
-that differ by at most r, so only blocks whose ranges come that close are
-joined with each other.  Blocks are joined exactly, in one task each pair.
-Equal sets are one class throughout.
+Jaccard distance is a metric.  A region of sets is parted by pivots: every set
+is measured against them and belongs to the Voronoi cell of the nearest, and
+joins a further cell as a visitor where the triangle inequality allows a
+neighbour there: its distance to that pivot exceeds its least by no more than
+twice the radius, and the cell's own reach by no more than the radius.  Cells
+with their visitors are regions again, until they are small or of one
+component, and are joined exactly; a large region is parted by Spark, a small
+one inside its task.  Sets within the radius of a pivot are linked with it, so
+sets of one component are not compared any more.
+
+Unrelated documents are all at a distance near 1 from any pivot, and such
+windows would replicate them everywhere.  So a stated reduction comes first:
+regions start from signatures that no linked pair can escape.  Sets of like
+size are cut by hash into one part more than the largest symmetric difference
+a linked pair can have, so a linked pair has an equal part; sets that share a
+part's hash, directly or through others, form a region.  A region that pivots
+do not part is reduced once more by the prefix filter in its own order of
+rarity, and what is still dense is joined block by block, leaving out blocks
+that are further apart than the radius or of one component.  Equal sets are
+one class throughout.
 """
 
 from __future__ import annotations
@@ -24,17 +30,23 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, words_of
 from .components import components
 
-#: Sets in a region that one task joins whole, and rows that a task is dealt.
-LEAF = 256
+#: Sets that are compared pair by pair; sets and elements of a region that one task joins; rows that a task is dealt.
+LEAF = 4
+TASK_SETS = 1024
+TASK_ELEMENTS = 4_000_000
 TASK_ROWS = 1024
-#: Pivots of a large region, and the width of its shells as a share of the radius.
+#: Pivots of a region; what a cell may keep of its region, and all cells of it, for the region to count as parted.
 PIVOTS = 8
+SHRINK, GROWTH = 0.75, 2.0
+#: Dense regions: sets in a block, and the width of shells as a share of the radius.
+BLOCK = 256
 SHELLS = 4
 #: Size of the bitmap that sieves signatures, fixed whatever the input: 16 MB.
 SIEVE_BITS = 1 << 27
@@ -167,108 +179,311 @@ def _digests(sets: DataFrame, threshold: Fraction) -> DataFrame:
     return sets.mapInArrow(run, "doc long, n long, d1 long, d2 long, sigs array<long>")
 
 
-def linked_stars(ids: np.ndarray, sets: list[np.ndarray], threshold: Fraction) -> list[tuple[int, int]]:
-    """Join sets exactly and return each one's link to its local component's smallest id."""
-    n = np.asarray([len(s) for s in sets])
-    values, inverse, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), n)
-    shared = seen > 1
-    place = np.cumsum(shared) - 1
-    at = shared[inverse]
-    row, column = row[at], place[inverse[at]]
-    both = np.zeros((len(sets), len(sets)))
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width = max(1024, (1 << 22) // len(sets))
-    for lo in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        dense = np.zeros((len(sets), width), "f4")
-        dense[row[a:b], column[a:b] - lo] = 1
-        both += dense @ dense.T
-    links = both * threshold.denominator >= threshold.numerator * (n[:, None] + n[None, :] - both)
-    np.fill_diagonal(links, True)
-    label = np.asarray(ids)
-    while True:
-        new = np.where(links, label[None, :], np.iinfo("i8").max).min(1)
-        if (new == label).all():
-            return [(int(i), int(c)) for i, c in zip(ids, label, strict=True) if i != c]
-        label = new
+class _Region:
+    """Sets laid end to end, joined recursively inside one task."""
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], threshold: Fraction, leaf: int) -> None:
+        self.ids, self.leaf, self.n = ids, leaf, np.asarray([len(s) for s in sets])
+        self.num, self.den, self.radius = threshold.numerator, threshold.denominator, float(1 - threshold)
+        _, inverse, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # Elements of one set only never count in an intersection.
+        shared = seen > 1
+        self.width = int(shared.sum())
+        row = np.repeat(np.arange(len(sets)), self.n)
+        keep = shared[inverse]
+        self.columns, self.kept = (np.cumsum(shared) - 1)[inverse[keep]], np.bincount(row[keep], minlength=len(sets))
+        self.starts = np.cumsum(self.kept) - self.kept
+        self.label = np.arange(len(sets))
+        self.by_pivot = np.zeros(len(sets), bool)
+        self.mask = np.zeros(self.width + 1, "f4")
+
+    def flat(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The members' columns end to end, and the member that each belongs to."""
+        kept = self.kept[at]
+        row = np.repeat(np.arange(len(at)), kept)
+        return self.columns[np.arange(len(row)) + np.repeat(self.starts[at] - (np.cumsum(kept) - kept), kept)], row
+
+    def links(self, both: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return both * self.den >= self.num * (sizes - both)
+
+    def unite(self, at: np.ndarray) -> None:
+        labels = np.unique(self.label[at])
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
+
+    def one_component(self, at: np.ndarray) -> bool:
+        return bool((self.label[at] == self.label[at[0]]).all())
+
+    def join(self) -> None:
+        open_ = [(np.arange(len(self.n)), np.zeros(0, "i8"))]
+        while open_:
+            home, visitors = open_.pop()
+            at = np.concatenate((home, visitors))
+            if len(at) < 2 or not len(home) or self.one_component(at):
+                continue
+            if len(at) <= self.leaf:
+                self.compare(home, at)
+                continue
+            cells = self.cells(home, at)
+            for own, guests in cells:
+                if len(own) + len(guests) > SHRINK * len(at):
+                    self.compare(own, np.concatenate((own, guests)))
+                else:
+                    open_.append((own, guests))
+
+    def cells(self, home: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The Voronoi cells of pivots among the home sets, with their visitors.
+
+        A pair of home sets meets in the cell of the smaller number, so only
+        sets of later cells visit; visitors of the region visit every cell in reach.
+        """
+        columns, row = self.flat(at)
+        far, distances, next_ = None, [], 0
+        for _ in range(PIVOTS):
+            p = at[next_]
+            own = self.columns[self.starts[p] : self.starts[p] + self.kept[p]]
+            self.mask[own] = 1
+            both = np.bincount(row, self.mask[columns], len(at)).astype("i8")
+            self.mask[own] = 0
+            both[next_] = self.n[p]  # its own elements, shared or not
+            sizes = self.n[at] + self.n[p]
+            hit = self.links(both, sizes)
+            self.by_pivot[at[hit & (at != p)]] = True
+            self.unite(at[hit])
+            distances.append(1 - both / (sizes - both))
+            far = distances[-1].copy() if far is None else np.minimum(far, distances[-1])
+            # The next pivot is the home set furthest from all so far.
+            next_ = int(far[: len(home)].argmax())
+            if far[next_] <= self.radius:
+                break
+        d = np.stack(distances)
+        near, least = d.argmin(0), d.min(0)
+        is_home = np.arange(len(at)) < len(home)
+        out = []
+        for j in range(len(d)):
+            own = is_home & (near == j)
+            if not own.any():
+                continue
+            reach = least[own].max() + self.radius + EPS
+            guests = ~own & (d[j] <= least + 2 * self.radius + EPS) & (d[j] <= reach) & (~is_home | (near > j))
+            out.append((at[own], at[guests]))
+        return out
+
+    def compare(self, home: np.ndarray, at: np.ndarray) -> None:
+        """Link home sets with all, in products of bounded size."""
+        for i in range(0, len(home), BLOCK):
+            for j in range(0, len(at), BLOCK):
+                a, b = home[i : i + BLOCK], at[j : j + BLOCK]
+                if self.one_component(np.concatenate((a, b))):
+                    continue
+                hit = self.links(self.intersections(a, b), self.n[a][:, None] + self.n[b][None, :])
+                for x, y in zip(*np.nonzero(hit & (self.label[a][:, None] != self.label[b][None, :])), strict=True):
+                    if self.label[a[x]] != self.label[b[y]]:
+                        self.unite(np.asarray([a[x], b[y]]))
+
+    def intersections(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        (ca, ra), (cb, rb) = self.flat(a), self.flat(b)
+        self.mask[cb] = 1
+        keep = self.mask[ca] > 0
+        self.mask[cb] = 0
+        ca, ra = ca[keep], ra[keep]
+        names = np.unique(ca)
+        in_b = np.searchsorted(names, cb)
+        keep = names[np.minimum(in_b, len(names) - 1)] == cb if len(names) else np.zeros(len(cb), bool)
+        ca, cb, rb = np.searchsorted(names, ca), in_b[keep], rb[keep]
+        both, width = np.zeros((len(a), len(b))), max(1024, (1 << 21) // max(len(a), len(b)))
+        for lo in range(0, len(names), width):
+            dense = [np.zeros((m, min(width, len(names) - lo)), "f4") for m in (len(a), len(b))]
+            for x, c, r in ((dense[0], ca, ra), (dense[1], cb, rb)):
+                inside = (c >= lo) & (c < lo + width)
+                x[r[inside], c[inside] - lo] = 1
+            both += dense[0] @ dense[1].T
+        return both
+
+    def stars(self) -> list[tuple[int, int, bool]]:
+        """Each set's link to the smallest id of its component, and whether a pivot linked it."""
+        least = np.full(len(self.ids), np.iinfo("i8").max)
+        np.minimum.at(least, self.label, self.ids)
+        return [(int(i), int(c), bool(p)) for i, c, p in zip(self.ids, least[self.label], self.by_pivot, strict=True) if i != c]
+
+
+def linked_stars(ids: np.ndarray, sets: list[np.ndarray], threshold: Fraction, leaf: int = LEAF) -> list[tuple[int, int, bool]]:
+    """Join sets exactly; each linked set's id, the smallest id of its component, and whether a pivot found the link."""
+    some = [i for i, s in enumerate(sets) if len(s)]
+    if len(some) < 2:
+        return []
+    region = _Region(np.asarray(ids)[some], [np.asarray(sets[i]) for i in some], threshold, leaf)
+    region.join()
+    return region.stars()
 
 
 def _tasks(rows: int | None, elements: int | None) -> int:
     return max(1, (rows or 0) // TASK_ROWS, (elements or 0) // 500_000)
 
 
-def _join_units(units: DataFrame, threshold: Fraction, tasks: int) -> DataFrame:
-    """Edges (a, b) of units (unit, doc, s); whole units are dealt to tasks of bounded size."""
+EDGES = "a long, b long, by_pivot boolean"
+
+
+def _join_units(units: DataFrame, threshold: Fraction, tasks: int, name: str) -> DataFrame:
+    """Edges of units (unit, doc, s), written; whole units are dealt to tasks of bounded size."""
+    leaf = LEAF
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [e for _, x in rows.groupby("unit", sort=False) for e in linked_stars(x["doc"].to_numpy(), list(x["s"]), threshold)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        found = [e for _, x in rows.groupby("unit", sort=False) for e in linked_stars(x["doc"].to_numpy(), list(x["s"]), threshold, leaf)]
+        return pd.DataFrame(found, columns=["a", "b", "by_pivot"]).astype({"a": "int64", "b": "int64", "by_pivot": bool})
 
     dealt = units.select(F.pmod(F.xxhash64("unit"), F.lit(tasks)).alias("task"), "unit", "doc", "s")
-    return dealt.groupBy("task").applyInPandas(run, "a long, b long")
+    return materialise(dealt.groupBy("task").applyInPandas(run, EDGES), name)
 
 
 def _refined(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Large regions cut anew by their rarest elements: (doc, region) of what may still link.
+    """Regions reduced anew by their rarest elements: (region, doc, cut), whose cuts hold all that may still link.
 
     Linked sets share one of the n - ceil(t n) + 1 elements that come first in
     any common order; in order of rarity those that many sets have come last,
     so sets that share no more than a passage part here.
     """
-    tokens = sets.select("doc", F.size("s").alias("n"), F.explode("s").alias("t"))
-    shared = materialise(tokens.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard-frequency")
+    tokens = sets.select("region", "doc", F.size("s").alias("n"), F.explode("s").alias("t"))
+    shared = materialise(tokens.groupBy("region", "t").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard-frequency")
     # Elements of one set only come first of all, and need no more than to be counted.
-    ranked = tokens.join(shared, "t").groupBy("doc").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "t"))).alias("r"))
+    ranked = tokens.join(shared, ["region", "t"]).groupBy("region", "doc").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "t"))).alias("r"))
     prefix = F.col("n") - F.floor((F.col("n") * threshold.numerator + threshold.denominator - 1) / threshold.denominator) + 1
     left = (prefix - (F.col("n") - F.size("r"))).cast("int")
-    first = ranked.filter(left > 0).select("doc", F.explode(F.slice("r", F.lit(1), F.greatest(left, F.lit(0)))).alias("x")).select("doc", "x.t")
-    first = materialise(first, "jaccard-prefixes")
-    least = materialise(first.groupBy("t").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("t", "lo"), "jaccard-least")
-    found = components(first.join(least, "t").select(F.col("doc").alias("a"), F.col("lo").alias("b")))
-    return found.select(F.col("node").alias("doc"), F.col("component").alias("region"))
+    first = ranked.filter(left > 0).select("region", "doc", F.explode(F.slice("r", F.lit(1), F.greatest(left, F.lit(0)))).alias("x"))
+    # A set is one node in each of its regions.
+    first = materialise(first.select(F.xxhash64("region", "doc").alias("node"), F.xxhash64("region", "x.t").alias("t")), "jaccard-prefixes")
+    least = materialise(first.groupBy("t").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("t", "lo"), "jaccard-least")
+    found = components(first.join(least, "t").select(F.col("node").alias("a"), F.col("lo").alias("b")))
+    nodes = sets.select("region", "doc", F.xxhash64("region", "doc").alias("node"))
+    return nodes.join(found, "node").select("region", "doc", F.col("component").alias("cut"))
+
+
+def _roots(threshold: Fraction):
+    """For each region's pivots, the first pivot of their component: a few sets a row."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            roots = []
+            for row in batch["sets"]:
+                sets = [np.asarray(s) for s in row]
+                found = {a: b for a, b, _ in linked_stars(np.arange(len(sets)), sets, threshold, len(sets))}
+                roots.append([found.get(j, j) for j in range(len(sets))])
+            yield batch[["region"]].assign(roots=roots)
 
-def _blocks(sets: DataFrame, radius: float) -> tuple[DataFrame, int]:
-    """Units of large regions, pairs of blocks whose pivot ranges come within the radius, and their tasks.
+    return run
 
-    ``sets`` has region, doc and s.
+
+def _measured(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(region, refined, doc, s, d, near, least, settled) of large regions, written.
+
+    ``d`` are the distances to the region's pivots, ``near`` the nearest one,
+    ``settled`` the first pivot of the component that a linked pivot gives.
     """
-    near = lambda j: F.min(F.struct(F.xxhash64("doc", F.lit(j)).alias("h"), F.col("doc").alias("doc"))).getField("doc")
+    near = lambda j: F.min(F.struct(F.xxhash64("doc", "region", F.lit(j)).alias("h"), F.col("doc").alias("doc"))).getField("doc")
     chosen = sets.groupBy("region").agg(F.array_distinct(F.array(*(near(j) for j in range(PIVOTS)))).alias("docs"))
     pivot = chosen.select("region", F.posexplode("docs").alias("j", "doc"))
-    pivots = pivot.join(sets, ["region", "doc"]).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("j", "s"))).alias("pivots"))
+    # A region's pivots are at most PIVOTS sets; an id that has several sets gives one.
+    own = pivot.join(sets, ["region", "doc"]).groupBy("region", "j").agg(F.min("s").alias("s"))
+    pivots = own.groupBy("region").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "s"))), lambda p: p.s).alias("sets"))
     pivots = materialise(pivots, "jaccard-pivots")
-    common = lambda p: F.size(F.array_intersect(F.col("s"), p.s))
-    distance = F.transform("pivots", lambda p: 1 - common(p) / (F.size("s") + F.size(p.s) - common(p)))
-    measured = sets.select("region", "doc", "s").join(pivots, "region").select("region", "doc", "s", distance.alias("d"))
-    nearest = F.array_min("d")
-    shell = F.floor(nearest / (radius / SHELLS)).cast("int")
-    measured = materialise(measured.withColumn("cell", F.array_position("d", nearest)).withColumn("shell", shell), "jaccard-measured")
-    count = measured.groupBy("region", "cell", "shell").agg(F.ceil(F.count("*") / LEAF).cast("long").alias("parts"))
-    placed = measured.join(materialise(count, "jaccard-shells"), ["region", "cell", "shell"])
-    placed = materialise(placed.withColumn("block", F.struct("cell", "shell", F.pmod(F.xxhash64("doc"), "parts").alias("part"))).select("region", "block", "doc", "s", "d"), "jaccard-blocks")
+    roots = materialise(pivots.mapInPandas(_roots(threshold), "region long, roots array<int>"), "jaccard-roots")
+    common = F.transform("sets", lambda p: F.size(F.array_intersect(F.col("s"), p)).cast("long"))
+    total = lambda j: F.size("s") + F.size(F.get("sets", j))
+    d = F.transform("both", lambda c, j: 1 - c / (total(j) - c))
+    linked = F.transform("both", lambda c, j: F.when(c * threshold.denominator >= (total(j) - c) * threshold.numerator, F.get("roots", j)))
+    placed = sets.join(pivots.join(roots, "region"), "region").withColumn("both", common)
+    placed = placed.select("region", "refined", "doc", "s", d.alias("d"), F.array_min(linked).alias("settled"))
+    least = F.array_min("d")
+    return materialise(placed.select("region", "refined", "doc", "s", "d", "settled", least.alias("least"), (F.array_position("d", least) - 1).cast("int").alias("near")), "jaccard-measured")
+
+
+def _parted(measured: DataFrame, radius: float) -> DataFrame:
+    """(region, cell, doc, s, refined): Voronoi cells with their visitors, written."""
+    reach = measured.groupBy("region", "near").agg(F.max("least").alias("far"))
+    reach = reach.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("near", "far"))).alias("reach"))
+    rows = measured.join(materialise(reach, "jaccard-reach"), "region")
+    inside = lambda j: F.coalesce(
+        (j == F.col("near")) | ((j < F.col("near")) & (F.get("d", j) <= F.col("least") + (2 * radius + EPS)) & (F.get("d", j) <= F.element_at("reach", j) + (radius + EPS))), F.lit(False)
+    )
+    cells = F.filter(F.sequence(F.lit(0), F.size("d") - 1), inside)
+    return materialise(rows.select("region", F.explode(cells).alias("cell"), "doc", "s", "refined"), "jaccard-cells")
+
+
+def _blocks(measured: DataFrame, radius: float) -> tuple[DataFrame, int]:
+    """Units of dense regions, pairs of blocks that may hold links between components, and their tasks."""
+    shell = F.floor(F.col("least") / (radius / SHELLS)).cast("int")
+    settled = F.coalesce("settled", F.lit(-1))
+    placed = measured.select("region", "doc", "s", "d", settled.alias("settled"), "near", shell.alias("shell"))
+    count = placed.groupBy("region", "settled", "near", "shell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    placed = placed.join(materialise(count, "jaccard-shells"), ["region", "settled", "near", "shell"])
+    placed = materialise(placed.withColumn("block", F.struct("settled", "near", "shell", F.pmod(F.xxhash64("doc"), "parts").alias("part"))).select("region", "block", "doc", "s", "d"), "jaccard-blocks")
     at = lambda j: F.get("d", F.lit(j))
     boxes = placed.groupBy("region", "block").agg(F.array(*(F.min(at(j)) for j in range(PIVOTS))).alias("lo"), F.array(*(F.max(at(j)) for j in range(PIVOTS))).alias("hi"), F.count("*").alias("rows"), F.sum(F.size("s").cast("long")).alias("elements"))
     boxes = materialise(boxes, "jaccard-boxes")
     a, b = boxes.toDF("region", "a", "a_lo", "a_hi", "a_rows", "a_elements"), boxes.toDF("region", "b", "b_lo", "b_hi", "b_rows", "b_elements")
     apart = lambda lo, hi: F.exists(F.zip_with(lo, hi, lambda x, y: F.coalesce(x - y, F.lit(0.0))), lambda g: g > radius + EPS)
-    near = materialise(a.join(b, "region").filter("a <= b").filter(~apart("a_lo", "b_hi") & ~apart("b_lo", "a_hi")), "jaccard-pairs")
+    # Sets that settled on one component need not meet.
+    open_ = (F.col("a.settled") < 0) | (F.col("a.settled") != F.col("b.settled"))
+    near = materialise(a.join(b, "region").filter("a <= b").filter(open_ & ~apart("a_lo", "b_hi") & ~apart("b_lo", "a_hi")), "jaccard-pairs")
     size = near.agg(F.sum(F.col("a_rows") + F.col("b_rows")).alias("rows"), F.sum(F.col("a_elements") + F.col("b_elements")).alias("elements")).first()
     pairs = near.select("region", F.struct("a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
     units = placed.select("region", "block", "doc", "s").join(pairs, ["region", "block"]).select(F.xxhash64("region", "pair").alias("unit"), "doc", "s")
     return units, _tasks(size["rows"], size["elements"])
 
 
+def _sorted_out(sets: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Sets (region, doc, s, refined) of regions that one task joins, those of larger ones, and whether there are such."""
+    count = sets.groupBy("region").agg(F.count("*").alias("c"), F.sum(F.size("s").cast("long")).alias("e"))
+    large = count.filter((F.col("c") > TASK_SETS) | ((F.col("c") > LEAF) & (F.col("e") > TASK_ELEMENTS))).select("region")
+    large = materialise(large, "jaccard-large")
+    return sets.join(large, "region", "left_anti"), sets.join(large, "region", "left_semi"), not large.isEmpty()
+
+
 def _joined(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Edges of regions that are joined whole."""
+    """Edges of regions that are joined inside a task."""
     size = sets.agg(F.count("*").alias("rows"), F.sum(F.size("s").cast("long")).alias("elements")).first()
-    return _join_units(sets.select(F.xxhash64("region").alias("unit"), "doc", "s"), threshold, _tasks(size["rows"], size["elements"]))
+    return _join_units(sets.select(F.xxhash64("region").alias("unit"), "doc", "s"), threshold, _tasks(size["rows"], size["elements"]), "jaccard-links")
+
+
+def region_links(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Edges (a, b, by_pivot) that connect what links inside the regions of written sets (region, doc, s)."""
+    radius = float(1 - threshold)
+    small, large, more = _sorted_out(sets.withColumn("refined", F.lit(False)))
+    edges = _joined(small, threshold)
+    while more:
+        measured = _measured(large, threshold)
+        settled = measured.filter("settled is not null")
+        # Sets settled on one pivot's component are linked through it; its smallest id stands for it.
+        first = materialise(settled.groupBy("region", "settled").agg(F.min("doc").alias("b")), "jaccard-settled")
+        edges = edges.union(settled.join(first, ["region", "settled"]).select(F.col("doc").alias("a"), "b", F.lit(True).alias("by_pivot")).filter("a != b"))
+        cells = _parted(measured, radius)
+        sizes = cells.groupBy("region", "cell").agg(F.count("*").alias("c")).groupBy("region").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
+        sizes = sizes.join(measured.groupBy("region").agg(F.count("*").alias("n"), F.min("refined").alias("refined"), F.count_if(F.col("settled") == 0).alias("done")), "region")
+        # Of one component, parted, dense after a reduction, or still to be reduced.
+        fate = F.when(F.col("done") == F.col("n"), "done").when((F.col("most") <= F.col("n") * SHRINK) & (F.col("all") <= F.col("n") * GROWTH), "parted").when(F.col("refined"), "dense").otherwise("crowded")
+        fates = materialise(sizes.select("region", fate.alias("fate")), "jaccard-fates")
+        of = lambda rows, which: rows.join(fates.filter(F.col("fate") == which).select("region"), "region", "left_semi")  # noqa: E731, B023
+        there = {r["fate"] for r in fates.select("fate").distinct().collect()}
+        parts = []
+        if "parted" in there:
+            parts.append(of(cells, "parted").select(F.xxhash64("region", "cell").alias("region"), "doc", "s", "refined"))
+        if "crowded" in there:
+            crowded = of(measured, "crowded").select("region", "doc", "s")
+            cuts = materialise(_refined(crowded, threshold), "jaccard-refined")
+            parts.append(crowded.join(cuts, ["region", "doc"]).select(F.xxhash64("region", "cut").alias("region"), "doc", "s", F.lit(True).alias("refined")))
+        if "dense" in there:
+            units, tasks = _blocks(of(measured, "dense"), radius)
+            edges = edges.union(_join_units(units, threshold, tasks, "jaccard-dense-links"))
+        if not parts:
+            break
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        small, large, more = _sorted_out(materialise(rows, "jaccard-parts"))
+        edges = edges.union(_joined(small, threshold))
+    return edges
 
 
-def _members_of(digests: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sig, class, lo) of the sets in ``groups``, most other signatures sieved out first.
+def _members_of(digests: DataFrame, groups: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(sig, class, lo) of the sets in ``groups``, most other signatures sieved out first, and the sieve.
 
     The sieve is a bitmap of ``SIEVE_BITS`` bits over the groups' signatures,
     of that size whatever the input; what passes it wrongly the join drops.
@@ -293,8 +508,8 @@ def _members_of(digests: DataFrame, groups: DataFrame) -> DataFrame:
                 hit = bits[at >> 3] >> (at & 7).astype("u1") & 1 == 1
                 yield pa.RecordBatch.from_arrays([pa.array(sigs[hit]), pa.array(classes[hit])], ["sig", "class"])
 
-    some = digests.filter("n > 0").select("class", "sigs").mapInArrow(run, "sig long, class long")
-    return some.join(groups.select("sig", "lo"), "sig")
+    some = digests.select("class", "sigs").mapInArrow(run, "sig long, class long")
+    return some.join(groups.select("sig", "lo"), "sig"), shared
 
 
 def jaccard_join(
@@ -317,39 +532,39 @@ def jaccard_join(
     no rows; other columns are ignored.
     """
     threshold = Fraction(threshold)
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    digests = _digests(source.select("doc", shingles(F.col("text"), size).alias("s")), threshold)
-    digests = materialise(digests.withColumn("class", F.xxhash64("n", "d1", "d2")), "jaccard-sets")
-    # Equal sets have equal signatures and one class, so copies combine before the shuffle.
-    member = digests.filter("n > 0").select(F.explode("sigs").alias("sig"), "class")
+    digests = materialise(_digests(_source(docs, id_col, text_col).select("doc", shingles(F.col("text"), size).alias("s")), threshold), "jaccard-sets")
+    # Equal sets are one class, named by its smallest id.
+    reps = digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep")).filter("rep is not null")
+    reps = materialise(reps, "jaccard-reps")
+    sets = region_sets(docs, digests, reps, id_col=id_col, text_col=text_col, size=size)
+    linked = materialise(components(region_links(sets, threshold).select("a", "b")), "jaccard-components")
+    final = materialise(reps.join(linked, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "jaccard-final")
+    out = digests.select("doc", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+
+def region_sets(docs: DataFrame, digests: DataFrame, reps: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
+    """The first regions (region, doc, s), written: sets that share a signature, directly or through others."""
+    # Copies have equal signatures and one class, so they combine before the shuffle.
+    named = digests.filter("n > 0").withColumn("class", F.xxhash64("n", "d1", "d2"))
+    member = named.select(F.explode("sigs").alias("sig"), "class")
     groups = member.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
     groups = materialise(groups, "jaccard-groups")
     pairs = groups.filter("c = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-    stars = _members_of(digests, groups.filter("c > 2")).select(F.col("class").alias("a"), F.col("lo").alias("b"))
-    regions = components(pairs.union(stars)).select(F.col("node").alias("class"), F.col("component").alias("region"))
-    reps = materialise(digests.filter("n > 0").groupBy("class").agg(F.min("doc").alias("rep")).filter("rep is not null"), "jaccard-reps")
-    regions = materialise(regions.join(reps, "class").select(F.col("rep").alias("doc"), "region"), "jaccard-regions")
-
-    large = regions.groupBy("region").agg(F.count("*").alias("c")).filter(F.col("c") > LEAF).select("region", F.lit(True).alias("large"))
-    placed = regions.join(materialise(large, "jaccard-large"), "region", "left")
-    sets = placed.join(source, "doc").select("region", "large", "doc", shingles(F.col("text"), size).alias("s"))
-    sets = materialise(sets.filter(F.size("s") > 0), "jaccard-region-sets")
-    edges = _joined(sets.filter("large is null").drop("large"), threshold)
-    if not sets.filter("large").isEmpty():
-        wide = sets.filter("large").drop("large")
-        again = materialise(_refined(wide, threshold), "jaccard-refined")
-        large = again.groupBy("region").agg(F.count("*").alias("c")).filter(F.col("c") > LEAF).select("region", F.lit(True).alias("large"))
-        again = again.join(materialise(large, "jaccard-large"), "region", "left")
-        wide = materialise(wide.drop("region").join(again, "doc"), "jaccard-refined-sets")
-        edges = edges.union(_joined(wide.filter("large is null").drop("large"), threshold))
-        if not wide.filter("large").isEmpty():
-            units, tasks = _blocks(wide.filter("large"), float(1 - threshold))
-            edges = edges.union(_join_units(units, threshold, tasks))
-    linked = materialise(components(edges), "jaccard-components")
-
-    final = reps.join(linked, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component"))
-    out = digests.select("doc", "n", "class").join(materialise(final, "jaccard-final"), "class", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"))
+    members, sieve = _members_of(named, groups.filter("c > 2"))
+    found = components(pairs.union(members.select(F.col("class").alias("a"), F.col("lo").alias("b"))))
+    sieve.destroy()
+    found = found.select(F.col("node").alias("class"), F.col("component").alias("region"))
+    # The class is a short name for candidates; the digest itself tells sets apart.
+    regions = reps.withColumn("class", F.xxhash64("n", "d1", "d2")).join(found, "class").select(F.col("rep").alias("doc"), "region")
+    regions = materialise(regions, "jaccard-regions")
+    # The sets are cut after the join, for members of regions only.
+    sets = regions.join(_source(docs, id_col, text_col), "doc").select("region", "doc", shingles(F.col("text"), size).alias("s"))
+    return materialise(sets, "jaccard-region-sets").filter(F.size("s") > 0)
 
 
 def oracle_sql(size: int = 3, threshold: Fraction = Fraction(9, 10)) -> str:
