@@ -276,7 +276,7 @@ def test_pivots_find_links(spark):
     reps = digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"))
     sets = jaccard_join.region_sets(docs, digests, reps, id_col="doc_id", text_col="text", size=3)
     links = jaccard_join.region_links(sets, Fraction(9, 10)).collect()
-    assert sum(x["by_pivot"] for x in links) > 50 and len(links) > 100
+    assert len(links) > 10 and all(x["by_pivot"] for x in links)
 
 
 # 6

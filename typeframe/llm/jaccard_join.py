@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import materialise, words_of
 from .components import components
 
-#: Sets that are compared pair by pair; sets and elements of a region that one task joins; rows that a task is dealt.
-LEAF = 4
+#: Sets of a region that are compared pair by pair without pivots; sets and elements of a region that one task joins; rows that a task is dealt.
+LEAF = 1
 TASK_SETS = 1024
 TASK_ELEMENTS = 4_000_000
 TASK_ROWS = 1024
@@ -248,8 +248,9 @@ class _Region:
             both[next_] = self.n[p]  # its own elements, shared or not
             sizes = self.n[at] + self.n[p]
             hit = self.links(both, sizes)
-            self.by_pivot[at[hit & (at != p)]] = True
-            self.unite(at[hit])
+            if hit.sum() > 1:
+                self.by_pivot[at[hit]] = True
+                self.unite(at[hit])
             distances.append(1 - both / (sizes - both))
             far = distances[-1].copy() if far is None else np.minimum(far, distances[-1])
             # The next pivot is the home set furthest from all so far.
