@@ -45,6 +45,8 @@ TASK_ROWS = 1024
 #: Pivots of a region; what a cell may keep of its region, and all cells of it, for the region to count as parted.
 PIVOTS = 8
 SHRINK, GROWTH = 0.75, 2.0
+#: Mean distance to the nearest pivot beyond which a region holds strangers, and below which near copies.
+FAR = 0.5
 #: Dense regions: sets in a block, and the width of shells as a share of the radius.
 BLOCK = 256
 SHELLS = 4
@@ -399,7 +401,7 @@ def _measured(sets: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def _parted(measured: DataFrame, radius: float) -> DataFrame:
-    """(region, cell, doc, s, refined): Voronoi cells with their visitors, written."""
+    """(region, cell, doc, s, refined): Voronoi cells with their visitors."""
     reach = measured.groupBy("region", "near").agg(F.max("least").alias("far"))
     reach = reach.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("near", "far"))).alias("reach"))
     rows = measured.join(materialise(reach, "jaccard-reach"), "region")
@@ -407,7 +409,7 @@ def _parted(measured: DataFrame, radius: float) -> DataFrame:
         (j == F.col("near")) | ((j < F.col("near")) & (F.get("d", j) <= F.col("least") + (2 * radius + EPS)) & (F.get("d", j) <= F.element_at("reach", j) + (radius + EPS))), F.lit(False)
     )
     cells = F.filter(F.sequence(F.lit(0), F.size("d") - 1), inside)
-    return materialise(rows.select("region", F.explode(cells).alias("cell"), "doc", "s", "refined"), "jaccard-cells")
+    return rows.select("region", F.explode(cells).alias("cell"), "doc", "s", "refined")
 
 
 def _blocks(measured: DataFrame, radius: float) -> tuple[DataFrame, int]:
@@ -459,9 +461,9 @@ def region_links(sets: DataFrame, threshold: Fraction) -> DataFrame:
         edges = edges.union(settled.join(first, ["region", "settled"]).select(F.col("doc").alias("a"), "b", F.lit(True).alias("by_pivot")).filter("a != b"))
         cells = _parted(measured, radius)
         sizes = cells.groupBy("region", "cell").agg(F.count("*").alias("c")).groupBy("region").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
-        sizes = sizes.join(measured.groupBy("region").agg(F.count("*").alias("n"), F.min("refined").alias("refined"), F.count_if(F.col("settled") == 0).alias("done")), "region")
-        # Of one component, parted, dense after a reduction, or still to be reduced.
-        fate = F.when(F.col("done") == F.col("n"), "done").when((F.col("most") <= F.col("n") * SHRINK) & (F.col("all") <= F.col("n") * GROWTH), "parted").when(F.col("refined"), "dense").otherwise("crowded")
+        sizes = sizes.join(measured.groupBy("region").agg(F.count("*").alias("n"), F.min("refined").alias("refined"), F.count_if(F.col("settled") == 0).alias("done"), F.avg("least").alias("mean")), "region")
+        # Of one component, parted, near copies that no cell parts, or strangers still to be reduced.
+        fate = F.when(F.col("done") == F.col("n"), "done").when((F.col("most") <= F.col("n") * SHRINK) & (F.col("all") <= F.col("n") * GROWTH), "parted").when(F.col("refined") | (F.col("mean") <= FAR), "dense").otherwise("crowded")
         fates = materialise(sizes.select("region", fate.alias("fate")), "jaccard-fates")
         of = lambda rows, which: rows.join(fates.filter(F.col("fate") == which).select("region"), "region", "left_semi")  # noqa: E731, B023
         there = {r["fate"] for r in fates.select("fate").distinct().collect()}
@@ -564,10 +566,26 @@ def region_sets(docs: DataFrame, digests: DataFrame, reps: DataFrame, *, id_col:
     regions = reps.withColumn("class", F.xxhash64("n", "d1", "d2")).join(found, "class").select(F.col("rep").alias("doc"), "region")
     regions = materialise(regions, "jaccard-regions")
     # The sets are cut after the join, for members of regions only.
-    sets = regions.join(_source(docs, id_col, text_col), "doc").select("region", "doc", shingles(F.col("text"), size).alias("s"))
+    some = _sieved(_source(docs, id_col, text_col), regions)
+    sets = regions.join(some, "doc").select("region", "doc", shingles(F.col("text"), size).alias("s"))
     return materialise(sets, "jaccard-region-sets").filter(F.size("s") > 0)
 
 
+def _sieved(source: DataFrame, regions: DataFrame) -> DataFrame:
+    """The source without most documents that are in no region, so that their texts are not shuffled.
+
+    A bitmap of ``SIEVE_BITS`` bits over hashed ids, at most 16 MB in slices
+    of 4,096 bytes, tells them; what passes it wrongly the join drops.
+    """
+    # The bitmap functions count from 1.
+    bit = F.pmod(F.xxhash64("doc"), F.lit(SIEVE_BITS)) + 1
+    bits = regions.groupBy(F.bitmap_bucket_number(bit).alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    at = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    tried = source.withColumn("_k", F.bitmap_bucket_number(bit)).join(F.broadcast(materialise(bits, "jaccard-sieve")), "_k")
+    return tried.filter(F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*source.columns)
+
+
 def oracle_sql(size: int = 3, threshold: Fraction = Fraction(9, 10)) -> str:
     window = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
     return f"""
