@@ -400,6 +400,14 @@ def test_templates(spark):
     assert "rights" in first[0] and "rights" not in first[1]
 
 
+@pytest.mark.parametrize("words", [4, 5, 6, 7])
+def test_lines_that_share_only_their_opening_stay(spark, words):
+    tail = lambda i: " ".join(f"{'abcdefghijkl'[i]}{k}z".translate({48 + k: None}) + "qwertyuiop"[k] for k in range(words - 3))
+    rows = [(i, f"He said that {tail(i)}\nA text of number {i}") for i in range(12)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].startswith(f"He said that {tail(i)}") for i in range(12))
+
+
 # 9 and 10
 
 

@@ -6,7 +6,7 @@ variable field.  Two kinds of template live in a leaf: a masked line that
 recurs as it is, and the leaf's general template, whose position holds a token
 where more than half of the leaf's other lines agree and a wildcard
 elsewhere.  A line belongs to the general template when enough of its tokens
-match.  Templates found in ``min_docs`` different texts are dropped.
+beyond the leading ones, which a leaf's lines share anyway, match.  Templates found in ``min_docs`` different texts are dropped.
 """
 
 from __future__ import annotations
@@ -82,8 +82,8 @@ def line_dedup(
     # Tables on both sides of a join let Spark split a busy leaf.
     general = materialise(general, "line-general")
     words = F.split("m", " ")
-    agree = F.size(F.filter(F.transform(words, lambda t, i: F.coalesce(F.element_at("general", i) == t, F.lit(False))), lambda hit: hit))
-    members = rest.join(general, "leaf").filter(agree >= F.size(words) * similarity).select("leaf", "k1", "k2", "n_docs", "first")
+    agree = F.size(F.filter(F.transform(words, lambda t, i: (i >= depth) & F.coalesce(F.element_at("general", i) == t, F.lit(False))), lambda hit: hit))
+    members = rest.join(general, "leaf").filter(agree >= (F.size(words) - depth) * similarity).select("leaf", "k1", "k2", "n_docs", "first")
     members = materialise(members, "line-members")
     leaves = members.groupBy("leaf").agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("leaf_first")).filter(F.col("n_docs") >= min_docs).select("leaf", "leaf_first")
     generalised = members.join(materialise(leaves, "line-busy"), "leaf").select("k1", "k2", F.col("leaf_first").alias("first"))
@@ -118,7 +118,7 @@ rest AS (SELECT * FROM (SELECT *, sum(n_docs) OVER p AS leaf_docs, count(*) OVER
 tok AS (SELECT n, head, m, n_docs, leaf_docs, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM rest),
 com AS (SELECT n, head, pos, token FROM tok GROUP BY n, head, pos, token HAVING sum(n_docs) * 2 > min(leaf_docs)),
 mem AS (SELECT tok.n, tok.head, m, min(n_docs) AS n_docs FROM tok JOIN com ON tok.n = com.n AND tok.head = com.head AND tok.pos = com.pos AND tok.token = com.token
-  GROUP BY tok.n, tok.head, m HAVING count(*) >= tok.n * {similarity}),
+  GROUP BY tok.n, tok.head, m HAVING count(*) FILTER (WHERE tok.pos > {depth}) >= (tok.n - {depth}) * {similarity}),
 gen AS (SELECT m FROM (SELECT m, sum(n_docs) OVER (PARTITION BY n, head) AS s FROM mem) WHERE s >= {min_docs}),
 t AS (SELECT m FROM e WHERE n_docs >= {min_docs} UNION SELECT m FROM gen),
 k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE has AND m IN (SELECT m FROM t)) AS n_dropped,
