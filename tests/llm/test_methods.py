@@ -67,21 +67,53 @@ def test_binomial(spark):
         assert x["p"] == pytest.approx(sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)))
 
 
-def test_cutoffs_limit_false_rejection(spark):
+def certified(k, n, alpha, delta):
+    """The upper Clopper-Pearson bound of k of n is at most alpha."""
+    term = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha) + (n - i) * math.log(1 - alpha)
+    return k <= n * alpha and sum(math.exp(term(i)) for i in range(k + 1)) <= delta
+
+
+def test_rules_limit_false_rejection_together(spark):
+    # Good documents with some symbols, others with some repeats: each rule alone could reject what both may not.
     n = 3000
-    rows = [(i, "word " * 60 + "#" * (i % 100 if i % 50 == 0 else 0), "en" if i % 2 else "rare" if i < 40 else "de") for i in range(n)]
+    text = lambda i: f"word{i} " * 4 + " ".join(f"w{i}x{k}" for k in range(70)) + "#" * (6 * (i % 40) if i % 40 < 2 else 0) + (" again and once more" * 4 if i % 50 == 3 else "")
+    rows = [(i, text(i), "en" if i % 2 else "rare" if i < 40 else "de") for i in range(n)]
+    rows += [(n + i, text(0), "en") for i in range(400)]  # copies of one text are one trial
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
-    m = quality_rules.measure(docs).withColumn("base_failed", F.lit(False))
-    chosen = {(x["stratum"], x["rule"]): x["cutoff"] for x in quality_rules.cutoffs(m, labels.select(F.col("doc_id").alias("doc")), 0.02, 0.05).collect()}
+    labels = spark.createDataFrame([(i, 1) for i in range(n + 400)], "doc_id long, quality int")
+    m = quality_rules.measure(docs).withColumn("base_failed", F.lit(False)).withColumn("firsts", quality_rules.first_moves())
+    found = {x["stratum"]: (x["n"], x["level"]) for x in quality_rules.levels(m, labels.select(F.col("doc_id").alias("doc"), F.col("quality").alias("label")), 0.02, 0.05).collect()}
     # Twenty labels of a stratum certify nothing.
-    assert all(v is None for (s, _), v in chosen.items() if s == "rare")
-    by = {x["doc"]: x for x in m.collect()}
-    for (s, rule), cut in chosen.items():
-        if cut is not None:
-            of, base, scale, _ = quality_rules.RULES[rule]
-            own = [x for x in by.values() if x["stratum"] == s]
-            assert sum(x[of] * scale > x[base] * cut for x in own) <= 0.02 * len(own)
+    assert found["rare"] == (20, None) and found["en"][0] == 1501 and found["en"][1] is not None
+    by_text = {(x["stratum"], x["body"]): min([k for k in x["firsts"] if k is not None], default=len(quality_rules.MOVES)) for x in m.collect()}
+    for stratum, (total, level) in found.items():
+        firsts = [k for (s, _), k in by_text.items() if s == stratum]
+        assert len(firsts) == total
+        passes = [certified(sum(f <= k for f in firsts), total, 0.02, 0.05 / 3) for k in range(len(quality_rules.MOVES))]
+        assert level == max((k for k, p in enumerate(passes) if p), default=None)
+        # The chain is a fixed sequence: nothing passes beyond what fails.
+        assert passes == sorted(passes, reverse=True) and (stratum == "rare" or not all(passes))
+
+
+def test_cutoffs_act_on_the_tables(spark):
+    """Where labels suffice every stratum has a level, its rules reject bad documents, and the combined verdict spares good ones."""
+    duckdb = pytest.importorskip("duckdb")
+    c, sf = duckdb.connect(), "/root/testdata/sf0.1"
+    for t in ("documents", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    out = queries.op1_quality_rules(spark, sf)
+    cur = c.execute(queries.oracle_sql()["op1_quality_rules"])
+    order = [[d[0] for d in cur.description].index(k) for k in out.columns]
+    rows = out.collect()
+    assert Counter(map(tuple, rows)) == Counter(tuple(r[i] for i in order) for r in cur.fetchall())
+    good = dict(c.execute("SELECT doc_id, min(quality) FROM labels GROUP BY 1").fetchall())
+    lang = dict(c.execute("SELECT doc_id, coalesce(lang, '') FROM documents").fetchall())
+    seen = defaultdict(Counter)
+    for x in rows:
+        if x["doc_id"] in good and not x["base_failed"]:
+            seen[lang[x["doc_id"]], good[x["doc_id"]]][x["n_rules_failed"] > 0] += 1
+    assert all(v[True] <= 0.02 * sum(v.values()) for (_, q), v in seen.items() if q == 1)
+    assert all(v[True] >= 0.5 * sum(v.values()) for (_, q), v in seen.items() if q == 0)
 
 
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op8_line_dedup"])

@@ -1,14 +1,16 @@
-"""Quality rules with risk-controlled cutoffs, in SQL functions only.
+"""Quality rules with risk-controlled thresholds, in SQL functions only.
 
 Each rule rejects a document whose measure lies above a cutoff.  The cutoffs
-are not tuned: a fixed ladder is tested on labelled documents, stratum by
-stratum.  A cutoff is certified when, were good documents rejected at the
-tolerated rate ``alpha``, seeing as few rejections as were seen would have a
-binomial probability of at most ``delta`` divided by the number of tests.
-That is the exact (Clopper-Pearson) bound with Bonferroni's correction over
-strata and rules; along one ladder the test is monotone, so its steps are a
-fixed sequence that needs no further share.  The strictest certified cutoff
-is used; with none, the rule stays silent in that stratum.
+are not tuned: a fixed chain of moves, each tightening one rule by one step of
+its ladder, is tested on labelled documents, stratum by stratum.  What is
+tested is the verdict of all rules together: after a move, the share of good
+documents that any rule rejects.  The move is certified when, were that share
+above the tolerated rate ``alpha``, as few rejections as were seen would have
+a binomial probability of at most ``delta`` divided by the number of strata:
+the exact (Clopper-Pearson) bound with Bonferroni's correction over strata.
+Along the chain rejections only grow, so its moves are a fixed sequence that
+needs no further share, and the last certified move holds.  With none, the
+rules stay silent in that stratum.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from pyspark.sql import functions as F
 
 from .common import WORD_CLASS, let, materialise, words_of
 
-#: Rule: measure times ``scale`` over its base, and the ladder of cutoffs.
+#: Rule: measure times ``scale`` over its base, and the ladder of cutoffs from lenient to strict.
 RULES: dict[str, tuple[str, str, int, tuple[int, ...]]] = {
-    "symbols": ("n_symbols", "word_chars", 1000, (5, 10, 20, 40, 80, 160, 320)),
-    "upper": ("n_upper", "word_chars", 1000, (50, 100, 200, 300, 400, 600, 800)),
-    "dup_lines": ("n_dup_lines", "n_lines", 100, (10, 20, 30, 40, 60, 80)),
-    "repeats": ("n_repeat_words", "n_words", 100, (5, 10, 15, 20, 30, 40)),
-    "word_length": ("word_chars", "n_words", 10, (60, 70, 80, 90, 110, 150)),
+    "symbols": ("n_symbols", "word_chars", 1000, (320, 160, 80, 40, 20, 10, 5, 2, 1)),
+    "upper": ("n_upper", "word_chars", 1000, (800, 600, 400, 300, 200, 100, 60, 40, 30)),
+    "dup_lines": ("n_dup_lines", "n_lines", 100, (80, 60, 40, 30, 20, 10)),
+    "repeats": ("n_repeat_words", "n_words", 100, (40, 30, 20, 15, 10, 5)),
+    "word_length": ("word_chars", "n_words", 10, (150, 110, 90, 80, 70, 65, 60)),
 }
+#: The chain: one step of every ladder in turn.
+MOVES = [(rule, ladder[step]) for step in range(max(len(r[3]) for r in RULES.values())) for rule, (_, _, _, ladder) in RULES.items() if step < len(ladder)]
 
 
 def repeat_words(words: Column) -> Column:
@@ -51,6 +55,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     return base.select(
         "doc",
         "stratum",
+        F.xxhash64("text").alias("body"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         without(r"[#*$%&|<>]").alias("n_symbols"),
@@ -75,25 +80,26 @@ def binomial_cdf(k: Column, n: Column, rate: float) -> Column:
     return F.when(k <= 0, F.exp(first)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), zero, add, lambda acc: acc.s))
 
 
-def cutoffs(measured: DataFrame, good: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """The strictest certified cutoff of each (stratum, rule), or null.
+def first_moves() -> Column:
+    """For each rule, the first move of the chain that rejects the document, or null."""
+    of = lambda rule: F.array_min(F.array(*(F.when(exceeds(r, c), F.lit(k)) for k, (r, c) in enumerate(MOVES) if r == rule)))
+    return F.array(*map(of, RULES))
 
-    ``good`` holds the ids labelled good.  One aggregation counts, for every
-    stratum, the good documents and those that each step of each ladder would
-    reject; the tests run over those few sums.
+
+def levels(measured: DataFrame, labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """(stratum, n, level): the last certified move of each stratum, or null.
+
+    ``labelled`` has doc and label; equal texts are one trial, good if all
+    their labels are.  One aggregation counts every stratum's good texts and
+    those that each move of the chain would reject; the tests run over those
+    few sums.
     """
-    steps = [(rule, c) for rule, (_, _, _, ladder) in RULES.items() for c in ladder]
-    sums = (
-        measured.filter(~F.col("base_failed"))
-        .join(good, "doc", "left_semi")
-        .groupBy("stratum")
-        .agg(F.count("*").alias("n"), *(F.sum(exceeds(r, c).cast("long")).alias(f"{r}_{c}") for r, c in steps))
-    )
-    ladder = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).cast("long").alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r, c in steps)))
-    tests = F.count("*").over(Window.partitionBy(F.lit(1))) * len(RULES)
-    tried = sums.withColumn("tests", tests).select("stratum", "n", "tests", ladder.alias("x")).select("stratum", "n", "tests", "x.*")
-    passed = F.when(F.col("k") > F.col("n") * alpha, F.lit(False)).otherwise(binomial_cdf(F.col("k"), F.col("n"), alpha) <= F.lit(delta) / F.col("tests"))
-    return tried.groupBy("stratum", "rule").agg(F.min(F.when(passed, F.col("cutoff"))).alias("cutoff"))
+    texts = measured.filter(~F.col("base_failed")).join(labelled, "doc").groupBy("stratum", "body").agg(F.min("label").alias("label"), F.min(F.array_min("firsts")).alias("first")).filter("label = 1")
+    sums = texts.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*(F.count_if(F.col("first") <= k) for k in range(len(MOVES)))).alias("rejected"))
+    # One row per stratum: the window counts strata, not documents.
+    tried = sums.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1)))).select("stratum", "n", "strata", F.posexplode("rejected").alias("move", "k"))
+    passed = F.when(F.col("k") > F.col("n") * alpha, F.lit(False)).otherwise(binomial_cdf(F.col("k"), F.col("n"), alpha) <= F.lit(delta) / F.col("strata"))
+    return tried.withColumn("passed", passed).groupBy("stratum", "n").agg(F.max(F.when(F.col("passed"), F.col("move"))).alias("level"))
 
 
 def quality_rules(
@@ -109,23 +115,24 @@ def quality_rules(
 ) -> DataFrame:
     """Judge every document by the base rules and the certified cutoffs.
 
-    Each rule falsely rejects more than ``alpha`` of a stratum's good
-    documents with a chance of at most ``delta`` over all rules and strata.
-    Returns the document's id, the counts, ``base_failed``, ``kept`` and
-    ``n_rules_failed``.
+    With a chance of at least 1 - ``delta``, the rules together falsely reject
+    at most ``alpha`` of the good documents of every stratum.  Returns the
+    document's id, the counts, ``base_failed``, ``kept`` and ``n_rules_failed``.
 
     A null or empty text has no words and fails the base rule; null strata
-    form one stratum; null labels are ignored and repeated ones count as good
-    only if all do; repeated documents are judged once each; without labels
-    only the base rules act; an empty table gives no rows.
+    form one stratum; null labels are ignored, repeated ones count as good
+    only if all do, and equal texts are one trial; repeated documents are
+    judged once each; a stratum needs some log(strata / delta) / alpha good
+    texts, else only the base rules act; an empty table gives no rows.
     """
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    measured = materialise(measure(docs, id_col, text_col, stratum_col).withColumn("base_failed", base_failed), "quality")
-    good = labels.groupBy(F.col(id_col).alias("doc")).agg(F.min(label_col).alias("label")).filter("label = 1").select("doc")
-    chosen = cutoffs(measured, good, alpha, delta).groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
-    failed = sum((F.coalesce(exceeds(r, F.col(f"cut_{r}")), F.lit(False)).cast("long") for r in RULES), F.lit(0).cast("long"))
+    measured = measure(docs, id_col, text_col, stratum_col).withColumn("base_failed", base_failed)
+    measured = materialise(measured.withColumn("firsts", first_moves()), "quality")
+    labelled = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.min(label_col).alias("label"))
+    chosen = levels(measured, labelled, alpha, delta).select("stratum", "level")
+    failed = F.coalesce(F.size(F.filter("firsts", lambda k: k <= F.col("level"))), F.lit(0)).cast("long")
     # One row per stratum; Spark broadcasts it only while it is below its own size threshold.
-    judged = measured.join(chosen, "stratum", "left").withColumn("n_rules_failed", failed)
+    judged = measured.join(chosen, "stratum", "left").withColumn("n_rules_failed", F.when(F.col("level").isNull(), F.lit(0).cast("long")).otherwise(failed))
     return judged.select(
         F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("n_rules_failed") == 0)).alias("kept"), "n_rules_failed",
@@ -133,11 +140,8 @@ def quality_rules(
 
 
 def oracle_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
-    steps = [(r, c) for r, (_, _, _, ladder) in RULES.items() for c in ladder]
     over = lambda r, c: f"{RULES[r][0]} * {RULES[r][2]} > {RULES[r][1]} * {c}"
-    ladder = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {c} AS cutoff, count(*) AS n, sum(CASE WHEN {over(r, c)} THEN 1 ELSE 0 END) AS k FROM good GROUP BY stratum" for r, c in steps)
-    chosen = ", ".join(f"min(CASE WHEN rule = '{r}' AND passed THEN cutoff END) AS cut_{r}" for r in RULES)
-    failed = " + ".join(f"coalesce(({over(r, f'cut_{r}')})::BIGINT, 0)" for r in RULES)
+    of = lambda rule: "list_min([" + ", ".join(f"CASE WHEN {over(r, c)} THEN {k} END" for k, (r, c) in enumerate(MOVES) if r == rule) + "])"
     space = r"[^\x20\x09-\x0D]+"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
@@ -147,19 +151,20 @@ e AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM
 t AS (SELECT rid, i, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p AS win FROM e WINDOW p AS (PARTITION BY rid ORDER BY i)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM t WHERE win IS NOT NULL) WHERE c >= 2),
 cov AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) s(o) GROUP BY rid),
-m AS (SELECT w.rid, doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+m AS (SELECT w.rid, doc_id, stratum, text, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_upper,
   len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON w.rid = cov.rid),
-b AS (SELECT *, (n_words < 50 OR n_repeat_words * 100 > n_words * 50) AS base_failed FROM m),
-good AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
-ladder AS ({ladder}),
-tests AS (SELECT count(DISTINCT stratum) * {len(RULES)} AS tests FROM good),
-terms AS (SELECT stratum, rule, cutoff, n, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln({1 - alpha}))) AS cdf
-  FROM (SELECT *, unnest(range(0, least(k, floor(n * {alpha}))::BIGINT + 1)) AS i FROM ladder) GROUP BY ALL),
-passed AS (SELECT stratum, rule, cutoff, k <= n * {alpha} AND cdf <= {delta} / tests AS passed FROM terms, tests),
-chosen AS (SELECT stratum, {chosen} FROM passed GROUP BY stratum),
-j AS (SELECT b.*, {failed} AS n_rules_failed FROM b LEFT JOIN chosen ON b.stratum = chosen.stratum)
+b AS (SELECT *, (n_words < 50 OR n_repeat_words * 100 > n_words * 50) AS base_failed, [{", ".join(map(of, RULES))}] AS firsts FROM m),
+lab AS (SELECT doc_id, min(quality) AS label FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+txt AS (SELECT stratum, text, min(label) AS label, min(list_min(firsts)) AS first FROM b JOIN lab ON b.doc_id = lab.doc_id WHERE NOT base_failed GROUP BY stratum, text),
+good AS (SELECT stratum, first FROM txt WHERE label = 1),
+n AS (SELECT stratum, count(*) AS n FROM good GROUP BY stratum),
+tried AS (SELECT n.stratum, n, move, (SELECT count(*) FROM good g WHERE g.stratum = n.stratum AND g.first <= move) AS k FROM n, range(0, {len(MOVES)}) s(move)),
+terms AS (SELECT stratum, move, n, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln({1 - alpha}))) AS cdf
+  FROM (SELECT *, unnest(range(0, least(k, floor(n * {alpha}))::BIGINT + 1)) AS i FROM tried) GROUP BY ALL),
+chosen AS (SELECT stratum, max(move) AS level FROM terms WHERE k <= n * {alpha} AND cdf <= {delta} / (SELECT count(*) FROM n) GROUP BY stratum),
+j AS (SELECT b.*, coalesce(len(list_filter(firsts, lambda x: x <= level)), 0)::BIGINT AS n_rules_failed FROM b LEFT JOIN chosen ON b.stratum = chosen.stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (NOT base_failed AND n_rules_failed = 0) AS kept, n_rules_failed FROM j"""
