@@ -158,9 +158,8 @@ class Codec:
 
     def _library_spans(self, text: str) -> np.ndarray:
         """Where an unknown piece has no fixed length, the library's own offsets count."""
-        proto = self.processor.encode(text, out_type="immutable_proto")
-        place = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))).astype("int64")
-        return np.asarray([(place[p.begin], place[p.end]) for p in proto.pieces], "int64").reshape(-1, 2)
+        proto = self.processor.encode(text, return_type="proto")
+        return np.asarray([(p.begin, p.end) for p in proto.pieces], "int64").reshape(-1, 2)
 
 
 @lru_cache(maxsize=2)
