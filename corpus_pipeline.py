@@ -2,6 +2,12 @@
 
 Quality classifier, toxicity, line dedup, near-duplicate join and packing, in
 this order.  Every stage works on all documents that its predecessor kept.
+
+A stage's result must be written before the next stage is called, which then
+removes its predecessor's working tables.  Documents without an id or a text
+pass through the stages as their operators state; columns beside the text are
+carried, whatever their names, but for ``n_chars``, which follows the text if
+it is there.  No documents give no rows.
 """
 
 from __future__ import annotations
@@ -37,13 +43,13 @@ def stage(f):
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; a null text is judged as an empty one."""
     return byte_cnn.score_quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
 
 
 @stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; null and empty texts stay."""
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
 
 

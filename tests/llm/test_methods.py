@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from typeframe.llm import byte_cnn, html_template, jaccard_join, line_dedup, multi_index, packing, pieces, quality_rules, queries, sharding, toxicity
 from typeframe.llm.components import components
 
+from .conftest import TEXTS
+
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -136,7 +138,6 @@ def test_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     r = random.Random(1)
     texts = ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0xA0, 0x500), 0x3042, 0x1F600, 9, 10, 0x2028])) for _ in range(200)) for _ in range(60)]
     texts += [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
@@ -211,6 +212,39 @@ def test_charsmap(rule):
         assert len(source) == len(got) + 1 and (np.diff(source) >= 0).all()
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_spans_through_a_character_map(tmp_path, fallback):
+    """The public vocabulary under a compiled map: ids and source spans are the library's, unknown pieces included."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.default_model(), "rb") as f:
+        spec.ParseFromString(f.read())
+    rule = sentencepiece_model_pb2.ModelProto()
+    rule.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    spec.normalizer_spec.precompiled_charsmap = rule.normalizer_spec.precompiled_charsmap
+    spec.normalizer_spec.remove_extra_whitespaces = True
+    if not fallback:
+        spec.trainer_spec.byte_fallback = False
+        for p in spec.pieces:
+            p.type = p.UNUSED if p.type == p.BYTE else p.type
+    path = tmp_path / "map.model"
+    path.write_bytes(spec.SerializeToString())
+    c = pieces.Codec(str(path))
+    assert c.normalise.entries
+    r = random.Random(7)
+    texts = ["Ｈｅｌｌｏ　ｗｏｒｌｄ①", "ﬁn ㍿ ﾊﾟ  x", "  two  blanks ", "é é Å ℃", "a\u200bb\ufeff"]
+    texts += ["".join(chr(r.choice([32, 65, 98, 0xFF21, 0x2460, 0xFB01, 0x3000, 0x41, 0x130, 0x33A5, 0x3042])) for _ in range(25)) for _ in range(60)]
+    for t, ids in zip(texts, c.encode(texts), strict=True):
+        proto = c.processor.encode(t, return_type="proto")
+        spans = c.spans(t, ids).tolist()
+        assert ids == [p.id for p in proto.pieces] and len(spans) == len(ids)
+        # The library gives a character's bytes to its last byte piece; here each has its own.
+        plain = [(s, [p.begin, p.end]) for s, p in zip(spans, proto.pieces, strict=True) if not c.processor.is_byte(p.id)]
+        assert [a for a, _ in plain] == [b for _, b in plain], t
+
+
 # 4
 
 
@@ -591,3 +625,24 @@ def test_pipeline(spark, tmp_path):
         kept[x["doc_id"]] += x["length"]
     by = {x["doc_id"]: x["text"] for x in reached["near_duplicates"]}
     assert all(kept[i] == len(packing.byte_bpe_ids([t])[0]) + 1 for i, t in by.items())
+
+
+@pytest.mark.skipif(not os.path.exists(os.path.join(os.path.dirname(__file__), "../../corpus_pipeline.py")), reason="the pipeline can be absent")
+def test_pipeline_stages_on_odd_documents(spark, odd_docs, no_docs):
+    """Each stage by itself on nulls, empty and long texts, repeats and clashing columns, and on no rows."""
+    import corpus_pipeline
+
+    known = {(i, t) for i, t in TEXTS}
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, odd_docs, SF)
+        rows = out.collect()
+        if name == "packing":
+            assert {x["doc_id"] for x in rows} == {i for i, _ in TEXTS} and all(x["length"] > 0 for x in rows)
+        else:
+            assert out.columns == odd_docs.columns
+            assert name == "line_dedup" or {(x["doc_id"], x["text"]) for x in rows} <= known
+        if name == "toxicity":
+            assert len(rows) == len(TEXTS)
+        if name == "near_duplicates":
+            assert Counter(x["doc_id"] for x in rows) == Counter({None: 2, 1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 8: 1, 10: 1, 11: 1})
+        assert step(spark, no_docs, SF).count() == 0

@@ -28,6 +28,8 @@ from .components import components
 #: Members and queries that meet in one matrix product, and rows that a task is dealt.
 BLOCK = 512
 TASK_ROWS = 4096
+#: Vectors that a cell of the grid holds on average, and sampled vectors that a centroid needs.
+CELL, SAMPLED = 12, 8
 KMEANS_ROUNDS = 12
 
 
@@ -118,12 +120,15 @@ def near_duplicates(
     threshold: float = 0.95,
     target_recall: float = 0.999,
     sample: int = 20_000,
-    codes: int = 64,
+    codes: int | None = None,
 ) -> DataFrame:
     """Link vectors whose cosine is ``threshold`` or more.
 
     The codebooks are fitted on at most ``sample`` vectors, chosen by a hash;
-    every vector is indexed and every vector queries.  Returns ``id_col``,
+    every vector is indexed and every vector queries.  ``codes`` is a
+    codebook's size; by default it grows with the square root of the number of
+    different vectors, so that cells do not fill as the table grows, as far as
+    the sample feeds its centroids.  Returns ``id_col``,
     ``n_links``, ``component_id`` (smallest id reachable) and ``kept``.
 
     Vectors that are null, zero, hold null or non-finite components, or have
@@ -145,6 +150,8 @@ def near_duplicates(
     classes = rows.filter("ok").groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.count("*").alias("weight"), F.first("v").alias("v")).filter("doc is not null")
     classes = materialise(classes, "index-classes")
     picked = classes.orderBy(F.xxhash64("doc"), "doc").limit(sample).select("v").toPandas()["v"]
+    if codes is None:
+        codes = max(8, min(sample // SAMPLED, int(np.ceil((classes.count() / CELL) ** 0.5))))
     points = _unit(picked) if len(picked) else np.zeros((0, dim))
     half = dim // 2
     books = codebook(points[:, :half], codes, 1), codebook(points[:, half:], codes, 2)
