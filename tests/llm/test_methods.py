@@ -496,6 +496,7 @@ def brute_vectors(x, threshold):
 @pytest.mark.parametrize("target", [1.0, 0.999])
 def test_vectors(spark, target, monkeypatch):
     monkeypatch.setattr(multi_index, "BLOCK", 16)
+    monkeypatch.setattr(multi_index, "VISITORS", 24)
     r = np.random.default_rng(1)
     x = r.normal(size=(60, 16))
     x = np.concatenate([x, x[:20] + r.normal(scale=0.1, size=(20, 16)), x[:1] + r.normal(scale=0.07, size=(80, 16)), np.repeat(x[:1], 30, 0)])
@@ -509,6 +510,19 @@ def test_vectors(spark, target, monkeypatch):
         assert all(got[i]["component_id"] == found[i] and got[i]["kept"] == (found[i] == i) for i in got)
 
 
+def test_a_tile_is_visited_if_one_of_its_cells_is():
+    r = np.random.default_rng(4)
+    books = [multi_index.codebook(r.normal(size=(200, 4)), 20, seed) for seed in (1, 2)]
+    tiles = [multi_index.tiled(b) for b in books]
+    assert all(len(t) == len(b) and multi_index.TILES <= len(set(t.tolist())) < len(b) for t, b in zip(tiles, books, strict=True))
+    x = r.normal(size=(30, 8))
+    bounds = [multi_index.bounds(x[:, :4], books[0]), multi_index.bounds(x[:, 4:], books[1])]
+    low = [multi_index.least(b, t) for b, t in zip(bounds, tiles, strict=True)]
+    seen = [set(multi_index.visited(p, q, 0.5)) for p, q in zip(*low, strict=True)]
+    assert seen == [{(int(tiles[0][i]), int(tiles[1][j])) for i, j in multi_index.visited(p, q, 0.5)} for p, q in zip(*bounds, strict=True)]
+    assert any(len(s) < len(set(tiles[0])) * len(set(tiles[1])) for s in seen)
+
+
 def test_multi_sequence_order():
     r = np.random.default_rng(2)
     a, b = r.random(7), r.random(9)

@@ -8,7 +8,9 @@ the bound passes the search radius.  A half's bound is the distance to the
 bisecting plane between the nearest centroid and the cell's, so at a target
 recall of 1 no cell that could hold a neighbour is left out, which in many
 dimensions is most of the grid; a lower target shrinks the radius to what that
-share of planted neighbours needs.  Candidates are
+share of planted neighbours needs.  Neighbouring centroids share a tile, whose
+bound is the least of its cells': the walk goes over tiles, so a vector is sent
+once to all the cells that it visits there.  Candidates are
 verified in double precision.  Equal vectors are one class throughout.
 """
 
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .components import components
 
-#: Members and queries that meet in one matrix product, and rows that a task is dealt.
-BLOCK = 512
+#: Members and visitors that meet in one matrix product, and rows that a task is dealt.
+BLOCK, VISITORS = 1024, 4096
 TASK_ROWS = 4096
+#: Centroids of a half that share a tile, and tiles of a half that there are at least.
+TILE, TILES = 8, 4
 #: Vectors that a cell of the grid holds on average, and sampled vectors that a centroid needs.
 CELL, SAMPLED = 12, 8
 KMEANS_ROUNDS = 12
@@ -62,8 +66,20 @@ def bounds(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return plane**2
 
 
+def tiled(book: np.ndarray) -> np.ndarray:
+    """The tile of each centroid: neighbouring ones share one; numbered without gaps."""
+    width = max(1, min(TILE, len(book) // TILES))
+    return np.unique(squared(book, codebook(book, -(-len(book) // width), 5)).argmin(1), return_inverse=True)[1]
+
+
+def least(b: np.ndarray, tile: np.ndarray) -> np.ndarray:
+    """The least bound of each tile's centroids, a row of ``b`` at a time."""
+    order = np.argsort(tile, kind="stable")
+    return np.minimum.reduceat(b[:, order], np.searchsorted(tile[order], np.arange(tile.max() + 1)), axis=1)
+
+
 def visited(first: np.ndarray, second: np.ndarray, radius2: float) -> list[tuple[int, int]]:
-    """Grid cells by rising ``first[i] + second[j]`` while at most ``radius2``: the multi-sequence walk."""
+    """Places of a grid by rising ``first[i] + second[j]`` while at most ``radius2``: the multi-sequence walk."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     heap, seen, out = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, []
     while heap and heap[0][0] <= radius2:
@@ -155,6 +171,7 @@ def near_duplicates(
     points = _unit(picked) if len(picked) else np.zeros((0, dim))
     half = dim // 2
     books = codebook(points[:, :half], codes, 1), codebook(points[:, half:], codes, 2)
+    tile1, tile2 = tiled(books[0]), tiled(books[1])
     radius2 = reach(points[:2000], books, threshold, target_recall)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,32 +181,32 @@ def near_duplicates(
                 x = _unit(rows["v"])
                 b1, b2 = bounds(x[:, :half], books[0]), bounds(x[:, half:], books[1])
                 near1, near2 = squared(x[:, :half], books[0]).argmin(1), squared(x[:, half:], books[1]).argmin(1)
-                cells = [visited(p, q, radius2) for p, q in zip(b1, b2, strict=True)]
-                own = near1.astype("i8") * 65536 + near2
+                tiles = [visited(p, q, radius2) for p, q in zip(least(b1, tile1), least(b2, tile2), strict=True)]
+                own = tile1[near1].astype("i8") * 65536 + tile2[near2]
                 out = rows[["doc", "weight", "v"]].copy()
                 out["own"] = own
-                out["cells"] = [np.asarray(sorted({a * 65536 + b for a, b in c} | {int(o)}), "i8") for c, o in zip(cells, own, strict=True)]
+                out["tiles"] = [np.asarray(sorted({a * 65536 + b for a, b in t} | {int(o)}), "i8") for t, o in zip(tiles, own, strict=True)]
                 yield out
 
-    indexed = materialise(classes.mapInPandas(place, f"doc long, weight long, v {kind}, own long, cells array<long>"), "index")
+    indexed = materialise(classes.mapInPandas(place, f"doc long, weight long, v {kind}, own long, tiles array<long>"), "index")
 
-    # A cell's members and its visitors are cut into blocks of bounded size, and each pair of blocks is one unit.
-    visits = indexed.select("doc", F.explode("cells").alias("cell"))
-    members = indexed.groupBy(F.col("own").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks"))
-    visitors = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"), F.count("*").alias("n_visits"))
-    # A cell visited by its own members only, all of which are one vector, has no pairs to verify.
-    cells = materialise(members.join(visitors, "cell"), "index-cells").filter("n_visits > 1")
+    # A tile's members and its visitors are cut into blocks of bounded size, and each pair of blocks is one unit.
+    visits = indexed.select("doc", F.explode("tiles").alias("tile"))
+    members = indexed.groupBy(F.col("own").alias("tile")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks"))
+    visitors = visits.groupBy("tile").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("q_blocks"), F.count("*").alias("n_visits"))
+    # A tile visited by its own members only, all of which are one vector, has no pairs to verify.
+    tiles = materialise(members.join(visitors, "tile"), "index-tiles").filter("n_visits > 1")
     block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = indexed.select("doc", "weight", "v", F.col("own").alias("cell")).join(cells, "cell").select("doc", "weight", "v", "cell", block("m_blocks").alias("m"), steps("q_blocks").alias("q"), F.lit(True).alias("member"))
-    asked = indexed.select("doc", "weight", "v", F.explode("cells").alias("cell")).join(cells, "cell").select("doc", "weight", "v", "cell", steps("m_blocks").alias("m"), block("q_blocks").alias("q"), F.lit(False).alias("member"))
+    held = indexed.select("doc", "weight", "v", F.col("own").alias("tile")).join(tiles, "tile").select("doc", "weight", "v", "tile", block("m_blocks").alias("m"), steps("q_blocks").alias("q"), F.lit(True).alias("member"))
+    asked = indexed.select("doc", "weight", "v", F.explode("tiles").alias("tile")).join(tiles, "tile").select("doc", "weight", "v", "tile", steps("m_blocks").alias("m"), block("q_blocks").alias("q"), F.lit(False).alias("member"))
     units = held.unionByName(asked)
-    n = cells.agg(F.coalesce(F.sum(F.col("n_visits") * F.col("m_blocks")), F.lit(0))).first()[0]
+    n = tiles.agg(F.coalesce(F.sum(F.col("n_visits") * F.col("m_blocks")), F.lit(0))).first()[0]
     tasks = max(1, 2 * n // TASK_ROWS)
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, unit in rows.groupby(["cell", "m", "q"], sort=False):
+        for _, unit in rows.groupby(["tile", "m", "q"], sort=False):
             flag = unit["member"].to_numpy()
             m, q = unit[flag], unit[~flag]
             if not len(m) or not len(q):
@@ -213,7 +230,7 @@ def near_duplicates(
             found.append(pd.DataFrame({"a": ids[tied], "b": label[tied], "n": 0}))
         return pd.concat(found).astype("int64") if found else pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
 
-    dealt = units.withColumn("task", F.pmod(F.xxhash64("cell", "m", "q"), F.lit(tasks)))
+    dealt = units.withColumn("task", F.pmod(F.xxhash64("tile", "m", "q"), F.lit(tasks)))
     links = materialise(dealt.groupBy("task").applyInPandas(verify, "a long, b long, n long"), "index-links")
     linked = components(links.select("a", "b"))
     count = links.groupBy("a").agg(F.sum("n").alias("n"))
