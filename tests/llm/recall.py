@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from typeframe.llm import multi_index
 from typeframe.llm.common import table
 
-from ..helpers import roots
+from .test_methods import roots
 
 THRESHOLD = 0.95
 
