@@ -339,6 +339,50 @@ def _join_units(units: DataFrame, threshold: Fraction, tasks: int, name: str) ->
     return materialise(dealt.groupBy("task").applyInPandas(run, EDGES), name)
 
 
+def _sieve(rows: DataFrame, key: Column) -> Broadcast:
+    """A bitmap of ``SIEVE_BITS`` bits over 64-bit keys, broadcast; of that size whatever the input."""
+    # The bitmap functions count from 1.
+    bit = F.pmod(key, F.lit(SIEVE_BITS)) + 1
+    parts = rows.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    sieve = np.zeros(SIEVE_BITS // 8, "u1")
+    for r in parts:
+        sieve[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), "u1")
+    return rows.sparkSession.sparkContext.broadcast(sieve)
+
+
+def _in_sieve(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.mod(keys, SIEVE_BITS)
+    return bits[at >> 3] >> (at & 7).astype("u1") & 1 == 1
+
+
+def _crowd_of(sets: DataFrame, shared: DataFrame, threshold: Fraction) -> tuple[DataFrame, Broadcast]:
+    """(region, doc, n, t): elements that others of the region have, of sets that share enough of them, and the sieve.
+
+    A set with fewer than ceil(t n) shared elements has none in its prefix, so
+    it cannot link.  What passes the sieve wrongly the join with ``shared``
+    drops.
+    """
+    bits = _sieve(shared, F.col("region").bitwiseXOR(F.col("t")))
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                lists = batch.column(2)
+                values = lists.flatten().to_numpy(zero_copy_only=False)
+                n = np.diff(lists.offsets.to_numpy()).astype("i8")
+                row = np.repeat(np.arange(len(n)), n)
+                region, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                hit = _in_sieve(bits.value, values ^ region[row])
+                enough = np.bincount(row[hit], minlength=len(n)) >= -(-n * num // den)
+                keep = hit & enough[row]
+                row = row[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region[row], doc[row], n[row], values[keep])], ["region", "doc", "n", "t"])
+
+    return sets.select("region", "doc", "s").mapInArrow(run, "region long, doc long, n long, t long"), bits
+
+
 def _refined(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Regions reduced anew by their rarest elements: (region, doc, cut), whose cuts hold all that may still link.
 
@@ -346,15 +390,17 @@ def _refined(sets: DataFrame, threshold: Fraction) -> DataFrame:
     any common order; in order of rarity those that many sets have come last,
     so sets that share no more than a passage part here.
     """
-    tokens = sets.select("region", "doc", F.size("s").alias("n"), F.explode("s").alias("t"))
+    tokens = sets.select("region", F.explode("s").alias("t"))
     shared = materialise(tokens.groupBy("region", "t").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard-frequency")
+    crowd, sieve = _crowd_of(sets, shared, threshold)
     # Elements of one set only come first of all, and need no more than to be counted.
-    ranked = tokens.join(shared, ["region", "t"]).groupBy("region", "doc").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "t"))).alias("r"))
+    ranked = crowd.join(shared, ["region", "t"]).groupBy("region", "doc").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "t"))).alias("r"))
     prefix = F.col("n") - F.floor((F.col("n") * threshold.numerator + threshold.denominator - 1) / threshold.denominator) + 1
     left = (prefix - (F.col("n") - F.size("r"))).cast("int")
     first = ranked.filter(left > 0).select("region", "doc", F.explode(F.slice("r", F.lit(1), F.greatest(left, F.lit(0)))).alias("x"))
     # A set is one node in each of its regions.
     first = materialise(first.select(F.xxhash64("region", "doc").alias("node"), F.xxhash64("region", "x.t").alias("t")), "jaccard-prefixes")
+    sieve.destroy()
     least = materialise(first.groupBy("t").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("t", "lo"), "jaccard-least")
     found = components(first.join(least, "t").select(F.col("node").alias("a"), F.col("lo").alias("b")))
     nodes = sets.select("region", "doc", F.xxhash64("region", "doc").alias("node"))
@@ -384,17 +430,19 @@ def _measured(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """
     near = lambda j: F.min(F.struct(F.xxhash64("doc", "region", F.lit(j)).alias("h"), F.col("doc").alias("doc"))).getField("doc")
     chosen = sets.groupBy("region").agg(F.array_distinct(F.array(*(near(j) for j in range(PIVOTS)))).alias("docs"))
-    pivot = chosen.select("region", F.posexplode("docs").alias("j", "doc"))
+    # Written, so that Spark knows their size: the sets stay where they are while the pivots are small enough to broadcast.
+    pivot = materialise(chosen.select("region", F.posexplode("docs").alias("j", "doc")), "jaccard-chosen")
     # A region's pivots are at most PIVOTS sets; an id that has several sets gives one.
-    own = pivot.join(sets, ["region", "doc"]).groupBy("region", "j").agg(F.min("s").alias("s"))
+    own = sets.join(pivot, ["region", "doc"]).groupBy("region", "j").agg(F.min("s").alias("s"))
     pivots = own.groupBy("region").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "s"))), lambda p: p.s).alias("sets"))
     pivots = materialise(pivots, "jaccard-pivots")
     roots = materialise(pivots.mapInPandas(_roots(threshold), "region long, roots array<int>"), "jaccard-roots")
+    pivots = materialise(pivots.join(roots, "region"), "jaccard-rooted")
     common = F.transform("sets", lambda p: F.size(F.array_intersect(F.col("s"), p)).cast("long"))
     total = lambda j: F.size("s") + F.size(F.get("sets", j))
     d = F.transform("both", lambda c, j: 1 - c / (total(j) - c))
     linked = F.transform("both", lambda c, j: F.when(c * threshold.denominator >= (total(j) - c) * threshold.numerator, F.get("roots", j)))
-    placed = sets.join(pivots.join(roots, "region"), "region").withColumn("both", common)
+    placed = sets.join(pivots, "region").withColumn("both", common)
     placed = placed.select("region", "refined", "doc", "s", d.alias("d"), F.array_min(linked).alias("settled"))
     least = F.array_min("d")
     return materialise(placed.select("region", "refined", "doc", "s", "d", "settled", least.alias("least"), (F.array_position("d", least) - 1).cast("int").alias("near")), "jaccard-measured")
@@ -491,13 +539,7 @@ def _members_of(digests: DataFrame, groups: DataFrame) -> tuple[DataFrame, Broad
     The sieve is a bitmap of ``SIEVE_BITS`` bits over the groups' signatures,
     of that size whatever the input; what passes it wrongly the join drops.
     """
-    # The bitmap functions count from 1.
-    bit = F.pmod("sig", F.lit(SIEVE_BITS)) + 1
-    parts = groups.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    sieve = np.zeros(SIEVE_BITS // 8, "u1")
-    for r in parts:
-        sieve[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), "u1")
-    shared = digests.sparkSession.sparkContext.broadcast(sieve)
+    shared = _sieve(groups, F.col("sig"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -507,8 +549,7 @@ def _members_of(digests: DataFrame, groups: DataFrame) -> tuple[DataFrame, Broad
                 lists = batch.column(1)
                 sigs = lists.flatten().to_numpy(zero_copy_only=False)
                 classes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-                at = np.mod(sigs, SIEVE_BITS)
-                hit = bits[at >> 3] >> (at & 7).astype("u1") & 1 == 1
+                hit = _in_sieve(bits, sigs)
                 yield pa.RecordBatch.from_arrays([pa.array(sigs[hit]), pa.array(classes[hit])], ["sig", "class"])
 
     some = digests.select("class", "sigs").mapInArrow(run, "sig long, class long")
